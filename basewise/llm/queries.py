@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, mixing
+from . import langid, mixing, packing
 from .common import table
 
 
@@ -10,10 +10,17 @@ def _documents(f):
     return lambda spark, sf_dir: f(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def queries() -> dict:
     return {
         "op3_mixing": _documents(mixing.mix),
         "op4_language_id": _documents(langid.predict_languages),
+        "op9_packing": _documents(lambda docs: packing.pack(docs, tokenizer_path())),
     }
 
 
