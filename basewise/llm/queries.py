@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, packing
+from . import langid, mixing, packing, substrings
 from .common import table
 
 
@@ -18,6 +18,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 def queries() -> dict:
     return {
+        "op1_substring_dedup": _documents(substrings.digests),
         "op3_mixing": _documents(mixing.mix),
         "op4_language_id": _documents(langid.predict_languages),
         "op9_packing": _documents(lambda docs: packing.pack(docs, tokenizer_path())),
@@ -25,4 +26,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.ORACLE}
+    return {"op1_substring_dedup": substrings.ORACLE, "op3_mixing": mixing.ORACLE}
