@@ -90,8 +90,8 @@ def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _MULT[-1])
 
 
-def words_of(texts: list[bytes | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of several texts: (hash per word, first word index per text + end, start, end byte in the joined texts).
+def words_of(texts: list[bytes | None], lower: bool = False) -> tuple[np.ndarray, ...]:
+    """Words of several texts: (hash per word, first word index per text + end, start, end, the joined texts' bytes).
 
     Texts are joined by one newline, which is no part of any word; null counts as empty.
     """
@@ -107,7 +107,7 @@ def words_of(texts: list[bytes | None], lower: bool = False) -> tuple[np.ndarray
     first = np.zeros(len(texts) + 1, dtype=np.int64)
     text_end = np.cumsum(lengths + 1)
     first[1:] = np.searchsorted(starts, text_end, side="left")
-    return span_hashes(_BYTE_CODE[joined], starts, ends), first, starts, ends
+    return span_hashes(_BYTE_CODE[joined], starts, ends), first, starts, ends, joined
 
 
 def window_hashes(words: np.ndarray, width: int, salt: int = 0) -> np.ndarray:
@@ -126,6 +126,24 @@ def mix_step(state: np.ndarray, word: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def even_labels(spark: SparkSession, n: int, partitions: int) -> list[int]:
+    """``n`` distinct integers that hash partitioning deals evenly over ``partitions``."""
+    want, tries = -(-n // partitions), 12
+    while True:
+        rows = spark.range(partitions * want * tries + 64).select(F.col("id").cast("int").alias("i"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(partitions)).alias("p"))
+        found: list[list[int]] = [[] for _ in range(partitions)]
+        for r in rows.collect():
+            if len(found[r["p"]]) < want:
+                found[r["p"]].append(r["i"])
+        if all(len(x) == want for x in found):
+            return [x[k] for k in range(want) for x in found][:n]
+        tries *= 2
+
+
+def text_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
 def byte_batches(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Slices of Arrow batches holding about ``limit`` bytes of text (one row at least), with those texts as bytes."""
     for batch in batches:

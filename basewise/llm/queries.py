@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, packing, substrings
+from . import langid, lm, mixing, packing, substrings
 from .common import table
 
 
@@ -21,6 +21,7 @@ def queries() -> dict:
         "op1_substring_dedup": _documents(substrings.digests),
         "op3_mixing": _documents(mixing.mix),
         "op4_language_id": _documents(langid.predict_languages),
+        "op10_lm_scoring": _documents(lm.score),
         "op9_packing": _documents(lambda docs: packing.pack(docs, tokenizer_path())),
     }
 

@@ -22,11 +22,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_batches, free_name, shuffle_partitions, window_hashes, words_of
+from .common import byte_batches, even_labels, free_name, shuffle_partitions, window_hashes, words_of
 
 SYMBOL_BITS, PREFIX_WORDS = 4, 3
 SLOTS = 1 << (SYMBOL_BITS * PREFIX_WORDS)
@@ -107,20 +107,6 @@ def prefix_groups(counts: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return group, parts, max(1, state["at"])
 
 
-def even_labels(spark: SparkSession, n: int, partitions: int) -> list[int]:
-    """``n`` distinct integers that hash partitioning deals evenly over ``partitions``."""
-    want, tries = -(-n // partitions), 12
-    while True:
-        rows = spark.range(partitions * want * tries + 64).select(F.col("id").cast("int").alias("i"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(partitions)).alias("p"))
-        found: list[list[int]] = [[] for _ in range(partitions)]
-        for r in rows.collect():
-            if len(found[r["p"]]) < want:
-                found[r["p"]].append(r["i"])
-        if all(len(x) == want for x in found):
-            return [x[k] for k in range(want) for x in found][:n]
-        tries *= 2
-
-
 def repeated_windows(labels, owner, ids, repeated) -> np.ndarray:
     """Which windows start in a row with a smaller id, too; ``repeated``: sorted labels that start in a smaller chunk."""
     hit = np.zeros(len(labels), dtype=bool)
