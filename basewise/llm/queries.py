@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, lm, mixing, packing, substrings
+from . import langid, lm, minhash, mixing, packing, substrings
 from .common import table
 
 
@@ -22,6 +22,7 @@ def queries() -> dict:
         "op3_mixing": _documents(mixing.mix),
         "op4_language_id": _documents(langid.predict_languages),
         "op10_lm_scoring": _documents(lm.score),
+        "op8_minhash_dedup": _documents(lambda docs: minhash.near_duplicates(docs, width=2, percent=80)),
         "op9_packing": _documents(lambda docs: packing.pack(docs, tokenizer_path())),
     }
 
