@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import langid, lm, minhash, mixing, packing, substrings
+from pyspark.sql import functions as F
+
+from . import ann, langid, lm, minhash, mixing, packing, substrings, vector_dedup
 from .common import table
 
 
@@ -19,13 +21,15 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 def queries() -> dict:
     return {
         "op1_substring_dedup": _documents(substrings.digests),
+        "op2_nearest_neighbours": lambda spark, sf_dir: ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0),
         "op3_mixing": _documents(mixing.mix),
         "op4_language_id": _documents(langid.predict_languages),
         "op10_lm_scoring": _documents(lm.score),
+        "op6_vector_dedup": lambda spark, sf_dir: vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings")),
         "op8_minhash_dedup": _documents(lambda docs: minhash.near_duplicates(docs, width=2, percent=80)),
         "op9_packing": _documents(lambda docs: packing.pack(docs, tokenizer_path())),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": substrings.ORACLE, "op3_mixing": mixing.ORACLE}
+    return {"op1_substring_dedup": substrings.ORACLE, "op3_mixing": mixing.ORACLE, "op6_vector_dedup": vector_dedup.ORACLE, "op8_minhash_dedup": minhash.ORACLE}
