@@ -3,7 +3,7 @@
 A vector is represented by its nearest pivots in order. Blocks of candidates post their vectors in one inverted file per
 pivot, with the pivot's rank; a query walks the files of its own nearest pivots and ranks the block by the footrule
 distance of the two orders, in which a pivot beyond the first ``prefix`` counts as ranked ``prefix``. The best share
-``rerank`` of each block is reranked by inner product on the original vectors in double precision.
+``rerank`` of each block, or ``LEAST_RERANKED`` rows, is reranked by inner product on the original vectors in double precision.
 
 Pivots are a bounded sample (``pivots`` vectors, by hash of the id); every row is indexed. The query set meets all
 candidates in blocks of bounded size on both sides, so that no task grows with the data; what a task returns is the best
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import even_labels, shuffle_partitions
 from .vectors import common_size, matrix, usable
 
-CANDIDATE_BLOCK, QUERY_BLOCK = 8192, 1024
+CANDIDATE_BLOCK, QUERY_BLOCK, LEAST_RERANKED = 8192, 1024, 1024
 
 
 def nearest_pivots(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
@@ -40,7 +40,7 @@ def search_block(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarra
     cut = np.searchsorted(flat[by], np.arange(len(pivots) + 1))
     rows, weight = by // prefix, (prefix - by % prefix).astype(np.int32)
     files = [(rows[cut[p] : cut[p + 1]], weight[cut[p] : cut[p + 1]]) for p in range(len(pivots))]
-    best = min(len(x), max(4 * k, int(np.ceil(rerank * len(x)))))
+    best = min(len(x), max(4 * k, LEAST_RERANKED, int(np.ceil(rerank * len(x)))))
     out = []
     for own, vector, mine in zip(q_ids.tolist(), q, nearest_pivots(q, pivots, prefix), strict=True):
         # The footrule of two prefixes is a constant less twice the sum, over shared pivots, of the smaller weight.
