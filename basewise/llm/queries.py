@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, langid, lm, minhash, mixing, packing, substrings, vector_dedup
+from . import ann, langid, lm, minhash, mixing, packing, substrings, token_rollup, vector_dedup
 from .common import table
 
 
@@ -26,10 +26,11 @@ def queries() -> dict:
         "op4_language_id": _documents(langid.predict_languages),
         "op10_lm_scoring": _documents(lm.score),
         "op6_vector_dedup": lambda spark, sf_dir: vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings")),
+        "op7_token_rollup": lambda spark, sf_dir: token_rollup.replay(table(spark, sf_dir, "documents"), token_rollup.shared_folder(spark)),
         "op8_minhash_dedup": _documents(lambda docs: minhash.near_duplicates(docs, width=2, percent=80)),
         "op9_packing": _documents(lambda docs: packing.pack(docs, tokenizer_path())),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": substrings.ORACLE, "op3_mixing": mixing.ORACLE, "op6_vector_dedup": vector_dedup.ORACLE, "op8_minhash_dedup": minhash.ORACLE}
+    return {"op1_substring_dedup": substrings.ORACLE, "op3_mixing": mixing.ORACLE, "op6_vector_dedup": vector_dedup.ORACLE, "op7_token_rollup": token_rollup.ORACLE, "op8_minhash_dedup": minhash.ORACLE}
