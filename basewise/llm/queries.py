@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, langid, lm, minhash, mixing, packing, substrings, token_rollup, vector_dedup
+from . import ann, html_extract, langid, lm, minhash, mixing, packing, substrings, token_rollup, vector_dedup
 from .common import table
 
 
@@ -25,6 +25,7 @@ def queries() -> dict:
         "op3_mixing": _documents(mixing.mix),
         "op4_language_id": _documents(langid.predict_languages),
         "op10_lm_scoring": _documents(lm.score),
+        "op5_html_extraction": lambda spark, sf_dir: html_extract.extract_pages(table(spark, sf_dir, "pages")),
         "op6_vector_dedup": lambda spark, sf_dir: vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings")),
         "op7_token_rollup": lambda spark, sf_dir: token_rollup.replay(table(spark, sf_dir, "documents"), token_rollup.shared_folder(spark)),
         "op8_minhash_dedup": _documents(lambda docs: minhash.near_duplicates(docs, width=2, percent=80)),

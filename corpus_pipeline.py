@@ -1,19 +1,48 @@
-"""The corpus pipeline: documents through the stages in order."""
+"""The corpus pipeline: documents through five stages, each an operator of ``basewise.llm``."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basewise.llm import langid, mixing, packing
+from basewise.llm import langid, minhash, mixing, packing, substrings
 from basewise.llm.common import durable, table
 from basewise.llm.queries import tokenizer_path
 
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a recognised language; those without text or letters go."""
+    return langid.keep_identified(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of near-duplicates on five-word shingles."""
+    return minhash.keep_one(docs, width=5, percent=80)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages of 13 words and more that a document of smaller id has; no document goes."""
+    return substrings.without_repeats(docs, min_words=13)
+
+
+def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them: a repeat is a further row."""
+    return mixing.mixed_rows(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document in a token sequence."""
+    return packing.pack(docs, tokenizer_path())
+
+
 STAGES = [
-    ("language_id", lambda spark, docs, sf_dir: langid.keep_identified(docs)),
-    ("mixing", lambda spark, docs, sf_dir: mixing.mixed_rows(docs)),
-    ("packing", lambda spark, docs, sf_dir: packing.pack(docs, tokenizer_path())),
+    ("language_id", language_id),
+    ("minhash_dedup", near_duplicates),
+    ("substring_dedup", substring_dedup),
+    ("mixing", mixing_weights),
+    ("packing", pack),
 ]
 
+#: Models, hashes and a tokenizer decide; the tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
