@@ -99,4 +99,4 @@ def top_regions(regions: DataFrame, n: int = 100) -> DataFrame:
 
 def numbered(regions: DataFrame) -> DataFrame:
     """Regions numbered from 1 on each chromosome."""
-    return regions.withColumn("region_id", F.row_number().over(Window.partitionBy("chr").orderBy("start")))
+    return regions.withColumn("region_id", F.row_number().over(Window.partitionBy("chr").orderBy("start")).cast("long"))
