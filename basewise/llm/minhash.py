@@ -6,10 +6,11 @@ that order are candidates as far as their longest common prefix is ``DEPTH`` val
 orders crowded regions by longer prefixes, so that the neighbours there are those with the most values in common.
 
 Documents with equal sets are joined first, by a 128-bit fingerprint, and stand for one. Then each document is verified on
-the full sets against its best smaller neighbour, that is a forest with one pair per document. What is linked is one
-component. After that every region (equal labels up to ``DEPTH`` in some tree) that still holds several components has
-its remaining pairs between components verified: all at once in regions of up to ``SMALL_REGION`` documents, one hub
-after another against the rest in larger ones, until no pair is left. So no candidate pair between components is dropped.
+the full sets against its best smaller neighbour, that is a forest with one pair per document, and takes the root that it
+leads to. After that every region (equal labels up to ``DEPTH`` in some tree) that still holds several roots has all its
+remaining pairs between them looked at: those whose whole signatures agree in fewer values than six standard deviations
+below the threshold are ruled out, the others are verified on the full sets, too. So neither neighbours nor candidates are
+capped. Large regions are cut into parts that meet two by two.
 A pair at the threshold 0.8 shares a region in some tree with probability 1 - (1 - 0.8^5)^32 = 0.999997.
 
 Defined cases: a text with fewer words than a shingle is one shingle; null and wordless texts have an empty set and link
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import byte_batches, durable, free_name, mix, shuffle_partitions, window_hashes, words_of
 from .components import components
 
-TREES, DEPTH, NEIGHBOURS, SMALL_REGION = 32, 5, 3, 64
+TREES, DEPTH, NEIGHBOURS, REGION_ROWS = 32, 5, 3, 2048
 #: Up to so many candidate documents their ids are broadcast to fetch their texts; beyond, texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _rng = np.random.default_rng(99)
@@ -165,6 +166,50 @@ class Verifier:
         return pairs.join(left, "a").join(right, "b").where(100 * both >= self.percent * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct()
 
 
+def roots(parents: DataFrame, doublings: int = 3) -> DataFrame:
+    """(id, c): where 2^doublings steps along ``parents`` (a, b), a > b, lead; nodes without parent have no row."""
+    at = parents.select(F.col("a").alias("id"), F.col("b").alias("c"))
+    for _ in range(doublings):
+        on = at.select(F.col("id").alias("c"), F.col("c").alias("d"))
+        at = at.join(on, "c", "left").select("id", F.coalesce("d", "c").alias("c"))
+    return at
+
+
+def alike(t: pa.Table, least: float) -> pa.Table:
+    """Pairs (a, b), a > b, of a region's rows in different components whose signatures agree in a share ``least`` or more."""
+    ids, comp = t.column("id").to_numpy(), t.column("c").to_numpy()
+    codes = np.frombuffer(b"".join(t.column("codes").to_pylist()), dtype=np.int64).reshape(len(ids), TREES)
+    values = np.concatenate([(codes >> (12 * k)) & 0xFFF for k in range(DEPTH)], axis=1).astype(np.int16)
+    part, other = (t.column(x).to_numpy() for x in ("part", "other"))
+    lo = np.minimum(part, other).min()
+    left, right = np.flatnonzero(part == lo), np.flatnonzero(part == np.maximum(part, other).max())
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for i in left:
+        j = right[(comp[right] != comp[i]) & (ids[right] != ids[i])]
+        j = j[(values[j] == values[i]).mean(axis=1) >= least]
+        a.append(np.maximum(ids[i], ids[j]))
+        b.append(np.minimum(ids[i], ids[j]))
+    pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
+    return pa.Table.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+
+def rest_of_regions(regions: DataFrame, one_each: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all pairs between components in regions that hold several, but those whose signatures rule them out.
+
+    A region over ``REGION_ROWS`` is cut into parts, and every two parts meet in a task of their own.
+    """
+    known = regions.join(comp, "id", "left").withColumn("c", F.coalesce("c", "id"))
+    mixed = known.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("key")
+    parts = F.ceil(F.col("members") / F.lit(REGION_ROWS)).cast("int")
+    codes = one_each.select("id", F.substring("labels", 8 * TREES + 1, 8 * TREES).alias("codes"))
+    rows = known.join(mixed, "key").join(codes, "id").withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    share = percent / 100
+    least = share - 6 * (share * (1 - share) / (TREES * DEPTH)) ** 0.5
+    met = rows.groupBy("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
+    return met.applyInArrow(lambda t: alike(t, least), "a long, b long").distinct()
+
+
 def linked(docs: DataFrame, one_each: DataFrame, width: int, percent: int) -> DataFrame:
     """(u, v): documents of ``one_each`` in a component with others, and its smallest document."""
     partitions = shuffle_partitions(docs.sparkSession)
@@ -174,28 +219,10 @@ def linked(docs: DataFrame, one_each: DataFrame, width: int, percent: int) -> Da
     near = neighbours(regions, partitions)
     best = near.groupBy("a").agg(F.max(F.struct("hits", "b"))["b"].alias("b"))
     verifier = Verifier(docs, regions.select("id").distinct(), width, percent)
-    tested = durable(best.select("a", "b"))
-    edges = durable(verifier.confirm(tested))
-    hubs = None
-    while True:
-        comp = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        known = regions.select("key", "id", "members").join(comp.select(F.col("u").alias("id"), F.col("v").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id"))
-        mixed = known.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("key")
-        open_ = durable(known.join(mixed, "key"))
-        small = open_.where(F.col("members") <= SMALL_REGION)
-        other = small.select("key", F.col("id").alias("b"), F.col("c").alias("cb"))
-        pairs = small.join(other, "key").where("id > b AND c <> cb").select(F.col("id").alias("a"), "b")
-        large = open_.where(F.col("members") > SMALL_REGION)
-        unused = large.join(hubs, ["key", "id"], "left_anti") if hubs is not None else large
-        hub = durable(unused.groupBy("key").agg(F.min(F.struct("id", "c")).alias("hub")).select("key", F.col("hub.id").alias("h"), F.col("hub.c").alias("ch")))
-        spread = large.join(hub, "key").where("c <> ch").select(F.greatest("id", "h").alias("a"), F.least("id", "h").alias("b"))
-        pairs = durable(pairs.union(spread).distinct().join(tested, ["a", "b"], "left_anti"))
-        if pairs.isEmpty() and hub.isEmpty():
-            return comp
-        hub = hub.select("key", F.col("h").alias("id"))
-        hubs = hub if hubs is None else durable(hubs.union(hub))
-        tested = durable(tested.union(pairs))
-        edges = durable(edges.union(verifier.confirm(pairs)))
+    forest = durable(verifier.confirm(best))
+    comp = durable(roots(forest))
+    edges = verifier.confirm(rest_of_regions(regions.select("key", "id", "members"), one_each, comp, percent))
+    return components(comp.select(F.col("id").alias("u"), F.col("c").alias("v")).union(edges))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
