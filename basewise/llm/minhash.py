@@ -8,9 +8,10 @@ orders crowded regions by longer prefixes, so that the neighbours there are thos
 Documents with equal sets are joined first, by a 128-bit fingerprint, and stand for one. Then each document is verified on
 the full sets against its best smaller neighbour, that is a forest with one pair per document, and takes the root that it
 leads to. After that every region (equal labels up to ``DEPTH`` in some tree) that still holds several roots has all its
-remaining pairs between them looked at: those whose whole signatures agree in fewer values than six standard deviations
-below the threshold are ruled out, the others are verified on the full sets, too. So neither neighbours nor candidates are
-capped. Large regions are cut into parts that meet two by two.
+remaining pairs between them looked at, in one task: those whose whole signatures agree in fewer values than six standard
+deviations below the threshold are ruled out, the others are compared on the full sets. So neither neighbours nor
+candidates are capped, and what leaves a region are the links that join its components, no more than it has rows. Large
+regions are cut into parts that meet two by two.
 A pair at the threshold 0.8 shares a region in some tree with probability 1 - (1 - 0.8^5)^32 = 0.999997.
 
 Defined cases: a text with fewer words than a shingle is one shingle; null and wordless texts have an empty set and link
@@ -29,6 +30,8 @@ from .common import byte_batches, durable, free_name, mix, shuffle_partitions, w
 from .components import components
 
 TREES, DEPTH, NEIGHBOURS, REGION_ROWS = 32, 5, 3, 2048
+#: Of a shingle's hash, where sets of a region are compared; links found are confirmed on whole hashes.
+SET_BYTES = 5
 #: Up to so many candidate documents their ids are broadcast to fetch their texts; beyond, texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _rng = np.random.default_rng(99)
@@ -158,6 +161,16 @@ class Verifier:
         wanted = own.join(F.broadcast(ids) if few else ids, "id", "left_semi")
         self.sets = durable(wanted.mapInArrow(run, "id long, shingles array<long>"))
 
+    def packed(self) -> DataFrame:
+        """(id, packed): shortened hashes of each set, to be compared in one task."""
+
+        def run(batches):
+            for batch in batches:
+                flat = batch.column(1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack_set(np.asarray(flat[i].values, dtype=np.int64).view(np.uint64)) for i in range(batch.num_rows)], pa.binary())], names=["id", "packed"])
+
+        return self.sets.select("id", "shingles").mapInArrow(run, "id long, packed binary")
+
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are similar enough."""
         left = self.sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
@@ -175,26 +188,58 @@ def roots(parents: DataFrame, doublings: int = 3) -> DataFrame:
     return at
 
 
-def alike(t: pa.Table, least: float) -> pa.Table:
-    """Pairs (a, b), a > b, of a region's rows in different components whose signatures agree in a share ``least`` or more."""
-    ids, comp = t.column("id").to_numpy(), t.column("c").to_numpy()
+def pack_set(shingles: np.ndarray) -> bytes:
+    """The upper ``SET_BYTES`` bytes of each sorted hash."""
+    return np.ascontiguousarray(shingles.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :SET_BYTES]).tobytes()
+
+
+def unpack_set(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) // SET_BYTES, 8), dtype=np.uint8)
+    out[:, :SET_BYTES] = np.frombuffer(packed, dtype=np.uint8).reshape(-1, SET_BYTES)
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
+def connect(t: pa.Table, percent: int) -> pa.Table:
+    """Links (a, b), a > b, that join components of a region's rows: a forest, so fewer than there are rows.
+
+    Each row outside of the largest component is held against all rows of other components, the likeliest first; those
+    whose signatures rule them out are passed over, the others are compared on the full sets.
+    """
+    ids, sets = t.column("id").to_numpy(), [unpack_set(x) for x in t.column("packed").to_pylist()]
+    size = np.array([len(x) for x in sets])
     codes = np.frombuffer(b"".join(t.column("codes").to_pylist()), dtype=np.int64).reshape(len(ids), TREES)
     values = np.concatenate([(codes >> (12 * k)) & 0xFFF for k in range(DEPTH)], axis=1).astype(np.int16)
     part, other = (t.column(x).to_numpy() for x in ("part", "other"))
-    lo = np.minimum(part, other).min()
-    left, right = np.flatnonzero(part == lo), np.flatnonzero(part == np.maximum(part, other).max())
-    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for i in left:
-        j = right[(comp[right] != comp[i]) & (ids[right] != ids[i])]
-        j = j[(values[j] == values[i]).mean(axis=1) >= least]
-        a.append(np.maximum(ids[i], ids[j]))
-        b.append(np.minimum(ids[i], ids[j]))
-    pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
-    return pa.Table.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
-
-
-def rest_of_regions(regions: DataFrame, one_each: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
-    """(a, b): all pairs between components in regions that hold several, but those whose signatures rule them out.
+    left = np.flatnonzero(part == np.minimum(part, other).min())
+    right = np.flatnonzero(part == np.maximum(part, other).max())
+    label = np.unique(t.column("c").to_numpy(), return_inverse=True)[1]
+    main = np.bincount(label).argmax()
+    share = percent / 100
+    least = share - 6 * (share * (1 - share) / values.shape[1]) ** 0.5
+    in_left = np.isin(np.arange(len(ids)), left)
+    found: list[tuple[int, int]] = []
+    for i in np.flatnonzero(label != main).tolist():
+        across = right if in_left[i] else left
+        j = across[label[across] != label[i]]
+        # Sets of one size can't be more alike than the smaller is to the larger.
+        j = j[100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i])]
+        near = (values[j] == values[i]).mean(axis=1)
+        j = j[near >= least][np.argsort(-near[near >= least], kind="stable")]
+        while len(j):
+            some, j = j[:32], j[32:]
+            flat = np.concatenate([sets[k] for k in some])
+            at = np.minimum(np.searchsorted(sets[i], flat), size[i] - 1)
+            common = np.add.reduceat((sets[i][at] == flat).astype(np.int64), np.append(0, np.cumsum(size[some])[:-1]))
+            for k in some[100 * common >= percent * (size[i] + size[some] - common)].tolist():
+                if label[k] != label[i]:
+                    found.append((max(int(ids[i]), int(ids[k])), min(int(ids[i]), int(ids[k]))))
+                    label[label == label[k]] = label[i]
+            j = j[label[j] != label[i]]
+    return pa.Table.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
+
+
+def rest_of_regions(regions: DataFrame, one_each: DataFrame, packed: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that join the components of regions that hold several.
 
     A region over ``REGION_ROWS`` is cut into parts, and every two parts meet in a task of their own.
     """
@@ -202,12 +247,10 @@ def rest_of_regions(regions: DataFrame, one_each: DataFrame, comp: DataFrame, pe
     mixed = known.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("key")
     parts = F.ceil(F.col("members") / F.lit(REGION_ROWS)).cast("int")
     codes = one_each.select("id", F.substring("labels", 8 * TREES + 1, 8 * TREES).alias("codes"))
-    rows = known.join(mixed, "key").join(codes, "id").withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    share = percent / 100
-    least = share - 6 * (share * (1 - share) / (TREES * DEPTH)) ** 0.5
+    rows = known.join(mixed, "key").withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))).join(codes.join(packed, "id"), "id")
     met = rows.groupBy("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
-    return met.applyInArrow(lambda t: alike(t, least), "a long, b long").distinct()
+    return met.applyInArrow(lambda t: connect(t, percent), "a long, b long").distinct()
 
 
 def linked(docs: DataFrame, one_each: DataFrame, width: int, percent: int) -> DataFrame:
@@ -221,7 +264,7 @@ def linked(docs: DataFrame, one_each: DataFrame, width: int, percent: int) -> Da
     verifier = Verifier(docs, regions.select("id").distinct(), width, percent)
     forest = durable(verifier.confirm(best))
     comp = durable(roots(forest))
-    edges = verifier.confirm(rest_of_regions(regions.select("key", "id", "members"), one_each, comp, percent))
+    edges = verifier.confirm(rest_of_regions(regions.select("key", "id", "members"), one_each, verifier.packed(), comp, percent))
     return components(comp.select(F.col("id").alias("u"), F.col("c").alias("v")).union(edges))
 
 

@@ -3,8 +3,8 @@
 Documents are tokenised once. Whole sequences are cut off long documents; the remainders are dealt by hash into groups
 of bounded size. In a group the number of sequences is what the tokens fill, and the remainders, in descending
 estimated cost (linear plus quadratic attention cost of the piece), each go to the sequence of lowest cost that has
-room for them; one that fits nowhere is cut over the sequences of lowest cost. Only the last tokens of a group may
-leave a sequence partly filled.
+room for them; one that fits nowhere is cut over the sequences of lowest cost. A group's padding is less than one
+sequence in all.
 
 Tokens come from a byte-level BPE vocabulary file. The text is split into the vocabulary's pre-tokens by numpy over
 code points, equal pre-tokens are encoded once and kept by hash, so that frequent words cost a lookup. Texts that hold
