@@ -236,7 +236,7 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[str]:
         if kind == "form":
             return f"<form class='{name}'>{r.choice([words(2, 6), element('p', words(2, 9)), element('div', words(1, 4))])}<input type='text'></form>"
         if kind == "comments":
-            one = lambda: element(r.choice(["div", "li", "div", "p", "li", "article"]), r.choice([words(4, 30), element("p", words(4, 40)), element("p", words(1, 2)) + element("p", words(6, 40))]), r.choice(["comment", "reply", "", "comment body"]))
+            one = lambda: element(r.choice(["div", "li", "div", "p", "li", "div", "li", "p", "section", "article"]), r.choice([words(4, 30), element("p", words(4, 40)), element("p", words(1, 2)) + element("p", words(6, 40))]), r.choice(["comment", "reply", "", "comment body"]))
             return element(r.choice(["section", "div", "div", "ol"]), r.choice(["", element("h2", words(1, 3))]) + "".join(one() for _ in range(r.randint(1, 5))), name)
         return element("div", r.choice([linked(3, "p"), words(1, 5), element("ul", linked(3))]), name)
 
@@ -245,7 +245,7 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[str]:
         for _ in range(r.choice([1, 1, 2, 3, r.randint(3, 14)])):
             x = r.random()
             if x < 0.72:
-                kinds.append(element("p", words(1, r.choice([4, 20, 70])) + (f" <a href='/y'>{words(1, 2)}</a> {words(1, 20)}" if r.random() < 0.15 else ""), content=True))
+                kinds.append(element("p", words(1, r.choice([2, 6, 20, 70])) + (f" <a href='/y'>{words(1, 2)}</a> {words(1, 20)}" if r.random() < 0.15 else ""), content=True))
             elif x < 0.8:
                 kinds.append(element(r.choice(["h2", "h3"]), words(1, 6), content=True))
             elif x < 0.85:
