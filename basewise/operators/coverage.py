@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Positions per tile.
-TILE = 1 << 20
+TILE = 1 << 13
 
 
 def width() -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Positions per bin of the overlap join.
-BIN = 1 << 14
+BIN = 1 << 10
 
 
 def reduce_intervals(rows: DataFrame, keys: Sequence[str] = ("chr",), min_gap: int = 1, members: str | None = None) -> DataFrame:

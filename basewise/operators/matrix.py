@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .filters import filter_data
-from .intervals import BIN, overlap_width, overlaps
+from .intervals import overlap_width, overlaps
 from .regions import find_regions
 
 
@@ -44,7 +44,7 @@ def wide(long: DataFrame, samples: Sequence[str], keys: Sequence[str] = ("chr",
     return long.groupBy(*keys).pivot("sample", list(samples)).agg(F.first("value"))
 
 
-def overlap_counts(regions: DataFrame, runs: DataFrame, samples: Sequence[str], read_length: Sequence[float] | float = 1.0, keys: Sequence[str] = ("chr", "start", "end"), bin: int = BIN) -> DataFrame:
+def overlap_counts(regions: DataFrame, runs: DataFrame, samples: Sequence[str], read_length: Sequence[float] | float = 1.0, keys: Sequence[str] = ("chr", "start", "end"), bin: int = 256) -> DataFrame:
     """(keys, sample, value): coverage of runs inside regions over read length; only pairs with coverage have a row."""
     lengths = _per_sample(read_length, samples)
     pairs = overlaps(regions, runs, bin=bin)
