@@ -136,7 +136,7 @@ def queries() -> dict[str, Query]:
         "genomic_state_genes": lambda s, d: annotation.with_transcripts(_states(s, d, "full"), fx.transcripts(s, d)).select("chr", "start", "end", "strand", "state", F.concat_ws(",", "gene").alias("genes"), F.size("tx_id").cast("long").alias("n_tx")),
         "annotate_counts": lambda s, d: annotation.annotate_counts(_numbered(s, d), _states(s, d, "full"), ["exon", "intron", "intergenic"]),
         "annotate_hits": lambda s, d: annotation.annotate_hits(_numbered(s, d), _states(s, d, "coding"), 3),
-        "nearest_gene": lambda s, d: intervals.nearest(fx.exons(s, d).where("rank = 2").select(F.col("tx_id").alias("region_id"), "chr", "start", "end"), fx.transcripts(s, d).where("strand = '+' AND tx_id % 5 = 0")),
+        "nearest_gene": lambda s, d: intervals.nearest(fx.exons(s, d).where("strand = '-'").select((F.col("tx_id") * 10 + F.col("rank")).alias("region_id"), "chr", "start", "end"), fx.transcripts(s, d).where("strand = '+'")),
         "running_median": lambda s, d: r6(smoothing.running_median(smoothing.clusters(smoothing.positions_of(_mean(s, d), "mean_cov"), 30), "mean_cov", 5).select("chr", "pos", "smoothed")),
         "seqname_map": lambda s, d: fx.reads(s, d).groupBy("chr").agg(F.count("*").alias("n")).withColumn("ncbi", names.map_names(F.col("chr"), "NCBI", "UCSC")),
         "top_regions": lambda s, d: r6(matrix.top_regions(_regions(s, d).select("chr", "start", "end", F.round("area", 6).alias("area")))),
@@ -272,7 +272,7 @@ def oracle_sql() -> dict[str, str]:
         "genomic_state_genes": _with(_states_sql("full"), "SELECT st.chr, st.a AS start_pos, st.b AS end_pos, st.strand, st.state, COALESCE(string_agg(DISTINCT tx.gene_id, ',' ORDER BY tx.gene_id), '') AS genes, count(DISTINCT tx.tx_id)::BIGINT AS n_tx FROM st LEFT JOIN tx ON tx.chr = st.chr AND tx.strand = st.strand AND tx.a <= st.b AND st.a <= tx.b GROUP BY st.chr, st.a, st.b, st.strand, st.state"),
         "annotate_counts": _with(_states_sql("full") + ",\n" + _BASE_ONLY + _NUMBERED, "SELECT rg.region_id, rg.chr, " + ", ".join(f"count(CASE WHEN st.state = '{s}' THEN 1 END)::BIGINT AS {s}" for s in ("exon", "intron", "intergenic")) + " FROM rg LEFT JOIN st ON st.chr = rg.chr AND st.a <= rg.end_pos AND rg.start_pos <= st.b GROUP BY rg.region_id, rg.chr"),
         "annotate_hits": _with(_states_sql("coding") + ",\n" + _BASE_ONLY + _NUMBERED, "SELECT rg.region_id, rg.chr, rg.start_pos, rg.end_pos, st.state, st.a AS state_start, st.b AS state_end, st.strand FROM rg JOIN st ON st.chr = rg.chr AND least(st.b, rg.end_pos) - greatest(st.a, rg.start_pos) + 1 >= 3"),
-        "nearest_gene": _with(_TX + ", f AS (SELECT * FROM tx WHERE strand = '+' AND tx_id % 5 = 0), p AS (SELECT e.tx_id AS region_id, f.tx_id, greatest(0, f.a - e.b, e.a - f.b) AS distance FROM ex e JOIN f ON f.chr = e.chr WHERE e.rank = 2), k AS (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY distance, tx_id) AS n FROM p)", "SELECT region_id, tx_id, distance::BIGINT AS distance FROM k WHERE n = 1"),
+        "nearest_gene": _with(_TX + ", f AS (SELECT * FROM tx WHERE strand = '+'), p AS (SELECT e.tx_id * 10 + e.rank AS region_id, f.tx_id, greatest(0, f.a - e.b, e.a - f.b) AS distance FROM ex e JOIN f ON f.chr = e.chr WHERE e.strand = '-'), k AS (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY distance, tx_id) AS n FROM p)", "SELECT region_id, tx_id, distance::BIGINT AS distance FROM k WHERE n = 1"),
         "running_median": _with(_MEAN + ",\n" + _islands("mc", "true", 30), f"SELECT chr, pos, {_r('median(x) OVER (PARTITION BY chr, g ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)', 'smoothed')} FROM i"),
         "seqname_map": _with(_READS, "SELECT chr, count(*)::BIGINT AS n, substr(chr, 4) AS ncbi FROM reads GROUP BY chr"),
         "top_regions": _with(_M, f"SELECT {_REGION}, {_r('abs(sum(x))', 'area')} FROM i GROUP BY chr, g ORDER BY round(abs(sum(x)), 6) DESC, chr, start_pos LIMIT 100"),
