@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterator
 
@@ -146,17 +147,28 @@ def text_bytes(docs: DataFrame) -> int:
 
 def byte_batches(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Slices of Arrow batches holding about ``limit`` bytes of text (one row at least), with those texts as bytes."""
-    for batch in batches:
-        column = batch.column(batch.schema.get_field_index(text))
-        if isinstance(column, pa.StringArray):
-            column = column.cast(pa.binary())
-        values = column.to_pylist()
-        at, size = 0, 0
-        for i, v in enumerate(values):
-            n = len(v) if v else 0
-            if i > at and size + n > limit:
-                yield batch.slice(at, i - at), values[at:i]
-                at, size = i, 0
-            size += n
-        if len(values) > at:
-            yield batch.slice(at), values[at:]
+    for whole in batches:
+        for lo in range(0, whole.num_rows, 512):  # so that few texts are held twice
+            batch = whole.slice(lo, 512)
+            column = batch.column(batch.schema.get_field_index(text))
+            if isinstance(column, pa.StringArray):
+                column = column.cast(pa.binary())
+            values = column.to_pylist()
+            at, size = 0, 0
+            for i, v in enumerate(values):
+                n = len(v) if v else 0
+                if i > at and size + n > limit:
+                    yield batch.slice(at, i - at), values[at:i]
+                    at, size = i, 0
+                size += n
+            if len(values) > at:
+                yield batch.slice(at), values[at:]
+
+
+def give_back() -> None:
+    """Return freed memory of this worker to the system; a worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _LOWER, byte_batches, crc_mod, free_name
+from .common import _LOWER, byte_batches, crc_mod, free_name, give_back
 
 SLOT_BITS = 13
 
@@ -124,6 +124,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, pred: str, score: str
                 names[at] = [own.languages[i] for i in best]
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(values, pa.float64())], names=schema.names)
+        give_back()
 
     return rows.mapInArrow(run, schema)
 

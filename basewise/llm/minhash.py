@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_batches, durable, free_name, mix, shuffle_partitions, window_hashes, words_of
+from .common import byte_batches, durable, free_name, give_back, mix, shuffle_partitions, window_hashes, words_of
 from .components import components
 
 TREES, DEPTH, NEIGHBOURS, REGION_ROWS = 32, 5, 3, 2048
@@ -83,6 +83,7 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
             packed = np.concatenate([key, code], axis=1)
             f1, f2 = (np.array([int(np.sum(mix(s ^ np.uint64(c)), dtype=np.uint64)) for s in sets], dtype=np.uint64).view(np.int64) for c in (0x1234567, 0x89ABCDE))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(f1), pa.array(f2), pa.array([p.tobytes() if k else None for p, k in zip(packed, n.tolist(), strict=True)], pa.binary())], names=["id", "n", "f1", "f2", "labels"])
+        give_back()
 
     own = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
     return own.mapInArrow(run, "id long, n long, f1 long, f2 long, labels binary")
@@ -154,6 +155,7 @@ class Verifier:
                 flat = np.concatenate(sets).view(np.int64)
                 at = np.append(0, np.cumsum([len(s) for s in sets])).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=["id", "shingles"])
+            give_back()
 
         ids = durable(ids)
         few = ids.count() <= BROADCAST_IDS
@@ -235,6 +237,8 @@ def connect(t: pa.Table, percent: int) -> pa.Table:
                     found.append((max(int(ids[i]), int(ids[k])), min(int(ids[i]), int(ids[k]))))
                     label[label == label[k]] = label[i]
             j = j[label[j] != label[i]]
+    if len(ids) > 1000:
+        give_back()
     return pa.Table.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
 
 

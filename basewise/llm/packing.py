@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_batches, mix, shuffle_partitions, span_hashes
+from .common import byte_batches, give_back, mix, shuffle_partitions, span_hashes
 
 SEQUENCE = 1024
 #: Documents of which the remainders meet in one group.
@@ -53,7 +53,7 @@ def _classes() -> np.ndarray:
 class Encoder:
     """Ids of whole texts by a byte-level BPE vocabulary, with a bounded cache of pre-tokens."""
 
-    def __init__(self, json_path: str, cache: int = 1_500_000) -> None:
+    def __init__(self, json_path: str, cache: int = 600_000) -> None:
         import tiktoken
 
         vocabulary = json.load(open(json_path, encoding="utf-8"))
@@ -215,6 +215,7 @@ def pack(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, end_id:
                     for column, v in zip(rows, (doc, start, len(part), zlib.crc32(part.astype("<u4").tobytes()) if whole else None, len(ids), None if whole else part.astype("<u4").tobytes()), strict=True):
                         column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int64(),) * 5 + (pa.binary(),), strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
+        give_back()
 
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(tokenise, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
     # The start is part of the key, so that the pieces of one long document spread.

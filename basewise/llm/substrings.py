@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_batches, even_labels, free_name, shuffle_partitions, window_hashes, words_of
+from .common import byte_batches, even_labels, free_name, give_back, shuffle_partitions, window_hashes, words_of
 
 SYMBOL_BITS, PREFIX_WORDS = 4, 3
 SLOTS = 1 << (SYMBOL_BITS * PREFIX_WORDS)
-GROUP_SUFFIXES = 4_000_000
-CHUNK_TEXT = 32 << 20
+GROUP_SUFFIXES = 1_000_000
+CHUNK_TEXT = 4 << 20
 NULL_ID = np.int64(np.iinfo(np.int64).min)
 
 
@@ -154,7 +154,8 @@ def drop_repeats(docs: DataFrame, min_words: int = 13, n_words: str = "n_words",
             for c in np.unique(own):
                 mine = (known & (own == c))[owner]
                 held.setdefault(int(c), []).append((label[mine], to[mine].astype(np.int32)))
-        for c, found in held.items():
+        for c in list(held):
+            found = held.pop(c)
             label, at = np.unique(np.concatenate([x for x, _ in found]), return_index=True)
             to = np.concatenate([x for _, x in found])[at]
             order = np.argsort(to, kind="stable")
@@ -179,6 +180,7 @@ def drop_repeats(docs: DataFrame, min_words: int = 13, n_words: str = "n_words",
         label, source = label[by][again], source[by][again]
         by = np.argsort(source, kind="stable")
         cut = np.searchsorted(source[by], np.arange(len(order) + 1))
+        give_back()
         rows = [(own[order[k]], label[by[cut[k] : cut[k + 1]]].tobytes()) for k in range(len(order)) if cut[k + 1] > cut[k]]
         return pa.Table.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["c", "labels"])
 
@@ -223,6 +225,7 @@ def drop_repeats(docs: DataFrame, min_words: int = 13, n_words: str = "n_words",
             texts.append(b" ".join(x).decode("utf-8", "replace"))
         at = left.schema.get_field_index(chunk)
         columns = [left.column(i) for i in range(left.num_columns) if i != at]
+        give_back()
         return pa.Table.from_arrays([*columns, pa.array(n_of, pa.int64()), pa.array(removed, pa.int64()), pa.array(all_spans, arrow_span), pa.array(texts, pa.string())], names=schema.names)
 
     answers = dealt.mapInArrow(send, "g int, c int, labels binary").groupBy("g").applyInArrow(meet, "c int, labels binary")
