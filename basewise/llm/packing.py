@@ -171,26 +171,44 @@ def pack_group(lengths: np.ndarray, sequence: int, linear: float, quadratic: flo
     """(document index, start in it, length, sequence, offset) for documents shorter than ``sequence``."""
     order = np.argsort(-lengths, kind="stable")
     n = -(-int(lengths.sum()) // sequence)
-    room, cost = [sequence] * n, [(0.0, k) for k in range(n)]
+    # A heap of (cost, sequence) for each room, and over the rooms a tree of the cheapest in each subtree.
+    size, none = 1 << sequence.bit_length(), (float("inf"), -1)
+    room, heaps, best = [sequence] * n, [[] for _ in range(size)], [none] * (2 * size)
+
+    def settle(r: int) -> None:
+        at = r + size
+        best[at] = heaps[r][0] if heaps[r] else none
+        while at > 1:
+            at >>= 1
+            best[at] = min(best[2 * at], best[2 * at + 1])
+
+    def cheapest(least: int) -> int:
+        """The sequence of lowest cost with room for ``least`` tokens, or -1."""
+        at = least + size
+        found = best[at]
+        while at > 1:
+            if not at & 1:
+                found = min(found, best[at + 1])
+            at >>= 1
+        return found[1]
+
+    heaps[sequence] = [(0.0, k) for k in range(n)]
+    settle(sequence)
     out = []
     for i in order.tolist():
         start, left = 0, int(lengths[i])
-        aside: list[tuple[float, int]] = []
-        while cost and room[cost[0][1]] < left and len(aside) < 16:
-            aside.append(heapq.heappop(cost))
-        if not cost or room[cost[0][1]] < left:  # it is cut, over the cheapest sequences that have any room
-            for x in aside:
-                heapq.heappush(cost, x)
-            aside = []
+        whole = cheapest(left)
         while left:
-            c, k = heapq.heappop(cost)
-            take = min(left, room[k])
-            out.append((i, start, take, k, sequence - room[k]))
-            start, left, room[k] = start + take, left - take, room[k] - take
+            k = whole if whole >= 0 else cheapest(1)  # where none has room, it is cut over the cheapest that have any
+            old = room[k]
+            take = min(left, old)
+            out.append((i, start, take, k, sequence - old))
+            start, left, room[k] = start + take, left - take, old - take
+            c, _ = heapq.heappop(heaps[old])
+            settle(old)
             if room[k]:
-                heapq.heappush(cost, (c + piece_cost(take, linear, quadratic), k))
-        for x in aside:
-            heapq.heappush(cost, x)
+                heapq.heappush(heaps[room[k]], (c + piece_cost(take, linear, quadratic), k))
+                settle(room[k])
     return out
 
 

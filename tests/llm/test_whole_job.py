@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 
-from basewise.llm import lm
+from basewise.llm import lm, packing
 
 
 def test_lm_learns_from_every_training_document(spark, docs, messy, monkeypatch):
@@ -21,3 +21,23 @@ def test_lm_learns_from_long_texts(spark):
     only = spark.createDataFrame([(ids[0], "left right " * 20_000)], "doc_id long, text string")
     r = lm.score(only).first()
     assert r["n_tokens"] == 40_001 and r["score"] > 0.5 * r["base_score"]
+
+
+def test_packing_cuts_only_what_fits_nowhere():
+    rng = np.random.default_rng(3)
+    mixed = np.clip(rng.lognormal(5.3, 1.0, 3000).astype(int), 1, 1023)
+    two = np.concatenate([rng.integers(600, 1000, 700), rng.integers(20, 300, 1400)])
+    for lengths in (mixed, two):
+        plan = packing.pack_group(lengths, 1024, 1.0, 1 / 1024)
+        n = -(-int(lengths.sum()) // 1024)
+        room, cost = np.full(n, 1024), np.zeros(n)
+        for i, start, size, k, offset in plan:
+            assert offset == 1024 - room[k]
+            fits = room >= (lengths[i] if start == 0 else 1)
+            if start == 0 and size < lengths[i]:
+                assert not fits.any()
+            else:
+                assert cost[k] <= cost[fits].min() + 1e-9
+            room[k] -= size
+            cost[k] += packing.piece_cost(size, 1.0, 1 / 1024)
+        assert sum(p[2] for p in plan) == lengths.sum() and room.min() >= 0
