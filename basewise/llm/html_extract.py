@@ -7,10 +7,11 @@ is content with probability over one half is kept. Both kinds of potentials are
 module writes itself from layouts (``labelled_pages``), with known parts.
 
 Inline elements are transparent: their text belongs to the block around them. Scripts, styles, heads and form controls
-are no text. A page is read in one pass; unclosed and stray tags are borne as browsers bear them, roughly.
+are no text; an unclosed one ends with the block around it, a raw one (script, style, textarea, title, iframe) with the
+page. A page is read in one pass; unclosed and stray tags are borne as browsers bear them, roughly.
 
 Defined cases: null and empty html give an empty text, as does a page without content; repeated rows agree; text outside
-any element belongs to the page's root.
+any block belongs to the page's root, which is judged by the amount of such text, its share of the page and its links.
 """
 
 from __future__ import annotations
@@ -33,6 +34,11 @@ SILENT = frozenset("script style noscript template textarea select svg math ifra
 BLOCKS = frozenset(
     "html body main article section nav aside header footer div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption form fieldset figure figcaption blockquote pre address details summary dialog center".split()
 )
+#: Silent elements whose text has no tags: they end at the next literal end tag, or with the page.
+RAW = frozenset("script style textarea iframe title".split())
+#: Start tags that end a drawing or formula, except within the parts of it that hold HTML.
+BREAK_OUT = frozenset("body blockquote center dd div dl dt h1 h2 h3 h4 h5 h6 li ol p pre table ul".split())
+HOLDS_HTML = frozenset("foreignobject desc annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th"}
 
@@ -52,6 +58,48 @@ class Page:
     segments: list[tuple[int, str]] = field(default_factory=list)
 
 
+def raw_end(source: str, tag: str, at: int) -> int:
+    end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
+    return end.end() if end else len(source)
+
+
+def silent_end(source: str, tag: str, at: int, around: set[str]) -> tuple[int, bool]:
+    """Where a silent element ends that may hold others, and whether by its end tag; ``around``: the blocks it is in.
+
+    An unclosed one ends with the block around it, a drawing or formula at a tag that breaks out of it.
+    """
+    depth, inner, html = 1, [], 0
+    while m := TOKEN.search(source, at):
+        at = m.end()
+        if m[2] is None:
+            continue
+        name = m[2].lower()
+        if m[1]:
+            depth -= name == tag
+            if not depth:
+                return at, True
+            html -= name in HOLDS_HTML and html > 0
+            if name in inner:
+                del inner[len(inner) - 1 - inner[::-1].index(name) :]
+            elif name in around:
+                return m.start(), False
+        elif not empty(m[3]):
+            if name in RAW:
+                at = raw_end(source, name, at)
+            elif name in BREAK_OUT and tag in ("svg", "math") and not html:
+                return m.start(), False
+            elif name in BLOCKS:
+                inner.append(name)
+            depth += name == tag
+            html += name in HOLDS_HTML
+    return len(source), False
+
+
+def empty(attributes: str) -> bool:
+    """Whether a start tag closes itself; a slash at the end of a bare value belongs to the value."""
+    return attributes.endswith("/") and not re.search(r"=\s*[^\s\"'>]*/$", attributes)
+
+
 def parse(source: str) -> Page:
     """Block elements in page order, and the text segments between their edges."""
     page = Page()
@@ -103,11 +151,12 @@ def parse(source: str) -> Page:
                 else:
                     flush()
         elif tag in SILENT:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-            if end:
-                at = end.end()
-            elif tag not in ("head", "button", "object", "noscript"):
-                at = size
+            if tag in RAW:
+                at = raw_end(source, tag, at)
+            elif tag not in ("svg", "math") or not empty(m[3]):
+                end, closed = silent_end(source, tag, at, {nodes[k].tag for k in stack[1:]})
+                if closed or tag not in ("head", "button", "object", "noscript"):
+                    at = end
         elif tag == "a":
             links += 1
         elif tag in ("br", "hr", "wbr", "img", "input"):
@@ -144,6 +193,9 @@ def evidence(page: Page) -> list[list[str]]:
         if n.tag not in ("p", "li"):
             f.append(f"paragraphs={min(3, paragraphs[i])}")
         out.append(f + [f"word={w}" for w in n.words])
+    # The root is judged by the text that is in no block.
+    n, share = nodes[0], min(nodes[0].linked, nodes[0].text) / max(nodes[0].text, 1)
+    out[0] = [f"root links={0 if share < 0.02 else 1 if share < 0.3 else 2 if share < 0.7 else 3}", f"root size={min(6, int(math.log2(n.text + 1) / 2))}", f"root share={int(3.99 * n.text / max(text[0], 1))}"]
     return out
 
 
@@ -162,7 +214,8 @@ class Model:
             z = max(-30.0, min(30.0, self.tempering * sum(self.odds.get(x, 0.0) for x in f)))
             q = 1 / (1 + math.exp(-z))
             own.append((1 - q, q))
-        own[0] = (1.0, 0.0)  # the page itself is not content
+        if not nodes[0].text:
+            own[0] = (1.0, 0.0)  # nothing is outside of blocks
         up, message = [list(x) for x in own], [(1.0, 1.0)] * n
         for i in range(n - 1, 0, -1):
             a, b = up[i]
@@ -172,7 +225,7 @@ class Model:
             p = up[nodes[i].parent]
             x, y = p[0] * message[i][0], p[1] * message[i][1]
             p[0], p[1] = x / (x + y), y / (x + y)
-        belief = [(1.0, 0.0)] * n
+        belief = [tuple(up[0])] * n
         for i in range(1, n):
             b0, b1 = belief[nodes[i].parent]
             c0, c1 = b0 / max(message[i][0], 1e-300), b1 / max(message[i][1], 1e-300)
@@ -276,6 +329,21 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[str]:
     return out
 
 
+def labelled_roots(n: int = 200, seed: int = 12) -> list[tuple[str, int]]:
+    """Pages with text outside all blocks, and whether it is content: fragments and plain texts, or strays around a page."""
+    r = random.Random(seed)
+    words = lambda lo, hi: " ".join("".join(r.choice("abcdefghilmnoprstu") for _ in range(r.randint(2, 9))) for _ in range(r.randint(lo, hi))).capitalize() + "."
+    out = []
+    for page in labelled_pages(n // 2, seed):
+        lines = [words(3, 60) for _ in range(r.choice([1, 1, 2, r.randint(3, 12)]))]
+        if r.random() < 0.3:
+            lines.append(f"{words(5, 30)} <a href='/y'>{words(1, 2)}</a> {words(5, 20)}")
+        out.append((r.choice(["<br>", "<br><br>", " ", "<hr>"]).join(lines) + r.choice(["", f"<p>{words(4, 30)}</p>", f"<ul><li>{words(2, 9)}</li></ul>"]), 1))
+        stray = r.choice([words(1, 5), f"<a href='/x'>{words(1, 5)}</a>", " | ".join(f"<a href='/{i}'>{words(1, 2)}</a>" for i in range(r.randint(2, 8)))])
+        out.append(((stray + page) if r.random() < 0.5 else page + stray, 0))
+    return out
+
+
 def train(pages: list[str] | None = None) -> Model:
     """Potentials by counts over labelled pages, one added to each count."""
     seen: dict[str, list[int]] = {}
@@ -292,6 +360,13 @@ def train(pages: list[str] | None = None) -> Model:
                 for x in f:
                     seen.setdefault(x, [0, 0])[label[i]] += 1
     odds = {x: math.log((c[1] + 1) / (total[1] + 2)) - math.log((c[0] + 1) / (total[0] + 2)) for x, c in seen.items()}
+    roots: dict[str, list[int]] = {}
+    made, count = labelled_roots(), [0, 0]
+    for source, content in made:
+        count[content] += 1
+        for x in evidence(parse(source))[0]:
+            roots.setdefault(x, [0, 0])[content] += 1
+    odds |= {x: math.log((c[1] + 1) / (count[1] + 2)) - math.log((c[0] + 1) / (count[0] + 2)) for x, c in roots.items()}
     return Model(odds, tuple(tuple(c / sum(row) for c in row) for row in pairs))
 
 

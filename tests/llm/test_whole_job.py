@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 
-from basewise.llm import lm, packing
+from basewise.llm import html_extract, lm, packing
 
 
 def test_lm_learns_from_every_training_document(spark, docs, messy, monkeypatch):
@@ -41,3 +41,14 @@ def test_packing_cuts_only_what_fits_nowhere():
             room[k] -= size
             cost[k] += packing.piece_cost(size, 1.0, 1 / 1024)
         assert sum(p[2] for p in plan) == lengths.sum() and room.min() >= 0
+
+
+def test_extraction_keeps_text_after_silent_elements_and_outside_blocks():
+    model, one, two = html_extract.train(), "The first paragraph has a good many words that belong to the story.", "The second paragraph goes on about it and also has a good many words."
+    for odd in ('<svg width="4"/>', "<svg />", "<p><select><option>a</p>", "<p><template>a</p>", "<p><svg><path></p>", "<svg><path>", "<p><svg><svg><path></svg>a</svg></p>", "<p><math><mi>x</mi></p>", "<p><button>a</p>"):
+        text = model.extract(f"<html><body><article class='post'><p>{one}</p>{odd}<p>{two}</p></article><div class='footer'><svg><path></svg>a</div></body></html>")
+        assert one in text and two in text, odd
+    assert one not in model.extract(f"<article><p>{two}</p><p><template><div>{one}</div></template></p></article>")
+    text = model.extract(f"{one}<br>{two}")
+    assert one in text and two in text
+    assert "Menu" not in model.extract(f"<a href='/'>Menu</a><html><body><article><p>{one}</p><p>{two}</p></article></body></html>")
