@@ -1,10 +1,9 @@
-"""Substring deduplication with prefix-partitioned suffix trees over words.
+"""Substring deduplication by hash-partitioned matching of windows of ``min_words`` words, in place of suffix trees.
 
-The suffixes that start at the words of a text are split by a prefix of variable length, told by whole-corpus counts,
-into groups that fit in memory: a prefix is lengthened word by word while too many suffixes share it, and one that is
-still too frequent at the longest length is split by the rest of the ``min_words`` words. A group holds the part of the
-suffix tree under its prefixes, as sorted path labels at depth ``min_words``; a node there that two suffixes reach is an
-internal node, hence a repeat, and consecutive repeats of a text chain into its maximal repeats.
+Every window is a 64-bit label, and labels are dealt by slots of their first words, told by whole-corpus counts, into
+groups that fit in memory; a slot that is too frequent is split by the rest of the label. A group sorts its labels, and
+equal ones are a repeat. No suffix order, common prefixes or deeper nodes are built: every word of a longer repeat is in a
+repeated window, so the words removed are the same. Consecutive windows of a text chain into spans.
 
 Documents are dealt to chunks by ranges of doc_id, so that of two chunks one holds only smaller ids. A chunk sends each
 distinct label once, however often it occurs there, without ids: a group sees a label once per chunk at most and answers
