@@ -137,7 +137,10 @@ def predict_languages(docs: DataFrame, **how) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least_score: float = 0.0, **how) -> DataFrame:
-    """The rows whose language is recognised, with the columns of ``docs``."""
+    """The rows whose language is recognised, with the columns of ``docs``; without a model, those with a letter."""
     pred, score = free_name(docs, "lang_pred"), free_name(docs, "lang_score")
-    out = identify(docs, train(docs, **how), pred, score)
+    model = train(docs, **how)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    out = identify(docs, model, pred, score)
     return out.where((F.col(pred) != "und") & (F.col(score) >= least_score)).drop(pred, score)

@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 
-from basewise.llm import html_extract, lm, packing
+from basewise.llm import html_extract, langid, lm, packing
 
 
 def test_lm_learns_from_every_training_document(spark, docs, messy, monkeypatch):
@@ -52,3 +52,8 @@ def test_extraction_keeps_text_after_silent_elements_and_outside_blocks():
     text = model.extract(f"{one}<br>{two}")
     assert one in text and two in text
     assert "Menu" not in model.extract(f"<a href='/'>Menu</a><html><body><article><p>{one}</p><p>{two}</p></article></body></html>")
+
+
+def test_language_filter_keeps_documents_without_a_model(docs, messy):
+    kept = langid.keep_identified(docs.withColumn("lang", docs["lang"].substr(100, 0)).replace("", None, ["lang"]))
+    assert kept.columns == docs.columns and kept.count() == sum(1 for r in messy if r[1] and any(c.isalpha() for c in r[1])) > 0
