@@ -7,7 +7,8 @@ weight (``prefix`` less the pivot's rank) that each filed vector gives it; a que
 and adds up the smaller of both weights, which is a constant less half the footrule distance of the two orders. Vectors
 whose footrule distance is within the query's radius are reranked by inner product on the original vectors in double
 precision. The radius is that which takes in rows ** ``effort`` vectors, told from a sample of indexed vectors, so that it
-is the same for all blocks and what is found doesn't depend on how rows are dealt.
+is the same for all blocks and what is found doesn't depend on how rows are dealt; orders that are nearly equal to the
+query's are always within it, so that a group of near copies is reranked as a whole.
 
 Pivots (``pivots``, none a near copy of another) and the sample for radii (``SAMPLE``) are bounded samples, by hash of id and vector; every row is
 indexed. Block numbers are worked out from the number of rows filed under each pivot, so that what the driver holds is
@@ -31,6 +32,8 @@ from .common import durable
 from .vectors import matrix, usable
 
 BLOCK_ROWS, BLOCK_QUERIES, SAMPLE = 8192, 16384, 4096
+#: The share of a vector's weight with itself from which another is within every radius: all of a large group of near copies.
+ALIKE = 0.8
 OUT = "query_id long, rank int, vec_id long, score double"
 
 
@@ -129,6 +132,7 @@ def _search(own: DataFrame, size: int, k: int, pivots: int = 512, prefix: int =
         queries += r["m"]
     n = int(filed.sum())
     share = min(1.0, max(n**effort, 4.0 * (k + 1)) / n)
+    alike = int(ALIKE * prefix * (prefix + 1) / 2)
     first, parts = blocks(filed, points, BLOCK_ROWS)
     query_blocks = -(-queries // BLOCK_QUERIES)
     plan = spark.sparkContext.broadcast((first, parts))
@@ -151,7 +155,7 @@ def _search(own: DataFrame, size: int, k: int, pivots: int = 512, prefix: int =
                         allowed = np.zeros(len(points), dtype=bool)
                         allowed[o] = True
                         # The weight that the wanted share of the sample reaches; where few are near, those that share a pivot.
-                        least = 0 if everywhere else max(1, int(np.quantile(footrule(seen, o, prefix), 1 - share, method="lower")))
+                        least = 0 if everywhere else max(1, min(int(np.quantile(footrule(seen, o, prefix), 1 - share, method="lower")), alike))
                         at += [i] * len(goes)
                         to.append(goes)
                         flags += [np.packbits(allowed).tobytes()] * len(goes)
