@@ -50,20 +50,29 @@ def _classes() -> np.ndarray:
     return _state["classes"]
 
 
+def vocabulary(path: str) -> tuple[dict[str, int], dict[bytes, int]]:
+    """(added tokens, ranks) of a vocabulary file: JSON of a byte-level model, or lines of base64 and rank."""
+    if not path.endswith(".json"):
+        with open(path, "rb") as lines:
+            return {}, {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    with open(path, encoding="utf-8") as file:
+        held = json.load(file)
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    back = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+    added = {x["content"]: x["id"] for x in held["added_tokens"]}
+    return added, {bytes(back[c] for c in k): v for k, v in held["model"]["vocab"].items() if k not in added}
+
+
 class Encoder:
     """Ids of whole texts by a byte-level BPE vocabulary, with a bounded cache of pre-tokens."""
 
-    def __init__(self, json_path: str, cache: int = 600_000) -> None:
+    def __init__(self, path: str, cache: int = 600_000) -> None:
         import tiktoken
 
-        vocabulary = json.load(open(json_path, encoding="utf-8"))
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        back = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
-        self.added = {x["content"]: x["id"] for x in vocabulary["added_tokens"]}
-        ranks = {bytes(back[c] for c in k): v for k, v in vocabulary["model"]["vocab"].items() if k not in self.added}
+        self.added, ranks = vocabulary(path)
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.encode = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.path, self.limit = json_path, cache
+        self.path, self.limit = path, cache
         self._clear()
         rng = np.random.default_rng(7)
         self.code = rng.integers(1, 1 << 63, 1 << 12, dtype=np.uint64) | np.uint64(1)
@@ -117,6 +126,26 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
+        special, place, cut_at = self.places(texts)
+        if not len(place):
+            return [special.get(i, np.empty(0, dtype=np.uint32)) for i in range(len(texts))]
+        count = self.count[place]
+        total = np.append(0, np.cumsum(count, dtype=np.int64))
+        flat = self.ids[np.repeat(self.at[place] - total[:-1], count) + np.arange(total[-1])]
+        cut = total[cut_at]
+        return [special[i] if i in special else flat[cut[i] : cut[i + 1]] for i in range(len(texts))]
+
+    def counts(self, texts: list[str]) -> np.ndarray:
+        """The number of ids of each text."""
+        special, place, cut_at = self.places(texts)
+        total = np.append(0, np.cumsum(self.count[place], dtype=np.int64))
+        out = np.diff(total[cut_at])
+        for i, ids in special.items():
+            out[i] = len(ids)
+        return out
+
+    def places(self, texts: list[str]) -> tuple[dict[int, np.ndarray], np.ndarray, np.ndarray]:
+        """(ids of texts that hold an added token, the cache's place of each pre-token, the first of each text and the end)."""
         special = {i: self.special(x) for i, x in enumerate(texts) if any(a in x for a in self.added)}
         plain = ["" if i in special else x for i, x in enumerate(texts)]
         joined = "".join(plain)
@@ -124,17 +153,11 @@ class Encoder:
         doc_at = np.zeros(len(texts) + 1, dtype=np.int64)
         np.cumsum([len(x) for x in plain], out=doc_at[1:])
         if not len(points):
-            return [special.get(i, np.empty(0, dtype=np.uint32)) for i in range(len(texts))]
+            return special, np.empty(0, dtype=np.int64), np.zeros(len(texts) + 1, dtype=np.int64)
         starts = self.pieces(points, doc_at)
         ends = np.append(starts[1:], len(points))
         keys = span_hashes(self._codes(points), starts, ends)
-        place = self.look_up(keys, joined, starts, ends)
-        count = self.count[place]
-        total = np.zeros(len(count) + 1, dtype=np.int64)
-        np.cumsum(count, out=total[1:])
-        flat = self.ids[np.repeat(self.at[place] - total[:-1], count) + np.arange(total[-1])]
-        cut = total[np.searchsorted(starts, doc_at, side="left")]
-        return [special[i] if i in special else flat[cut[i] : cut[i + 1]] for i in range(len(texts))]
+        return special, self.look_up(keys, joined, starts, ends), np.searchsorted(starts, doc_at, side="left")
 
     def look_up(self, keys: np.ndarray, joined: str, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The cache's place of each pre-token, new ones being encoded."""

@@ -2,14 +2,22 @@
 
 Changes to documents come in batches: an insert adds the document's tokens to its group's totals, a delete takes them
 away, and a revision takes the old count away and adds the new one, in whatever groups both are. Each batch is summed to
-signed deltas per group, and the deltas are written once under the batch's id. Totals are the sums of all committed
-deltas. A batch is committed by the marker that Spark's writer leaves when all its files are in place: a batch that was
-lost on the way is written again, and one that is committed is left alone, so that a repeated batch changes nothing.
+signed deltas per group and written to a folder of its own attempt; it counts from the moment that this folder is renamed
+to the batch's id. A batch that was lost on the way is written again, one that is committed is left alone, and of two
+writers of one batch the second finds the name taken and drops its files. So batches are idempotent.
 
-Sums are pre-aggregated before the shuffle, so a source with a third of all rows costs one row per task.
+Totals are maintained: ``compact`` adds the deltas of the batches since the last snapshot to that snapshot's totals and
+writes the next one, and ``totals`` reads the latest snapshot and the batches after it only. What the driver lists are
+names of batches, never documents.
+
+Tokens are counted as ids of public vocabulary files, one file to a tokenizer version; a text is split and looked up once
+per version (see ``packing.Encoder``). Sums are pre-aggregated before the shuffle, so a source with a third of all rows
+costs one row per task.
 
 Defined cases: null source, language or version are groups of their own; null text has 0 tokens; repeated rows each
-count; a group whose documents are all gone disappears from the totals; an empty batch commits nothing but itself.
+count; a group whose documents are all gone disappears from the totals; an empty batch commits nothing but itself; a
+delete of what was never inserted makes a negative total, which ``overdrawn`` shows. The file system must rename folders
+as a whole, as HDFS and POSIX file systems do.
 """
 
 from __future__ import annotations
@@ -17,40 +25,52 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, durable
+from .common import byte_batches, checkpoint_folder, durable, give_back
+from .packing import encoder
 
 GROUP = ["source", "lang", "tokenizer"]
 DELTA = "source string, lang string, tokenizer string, documents long, tokens long"
+COUNTED = "source string, lang string, tokens array<long>"
+
 
-#: Token counts that Spark's functions can express, by tokenizer version.
-TOKENIZERS = {
-    "words-1": lambda text: F.regexp_count(text, F.lit(WORD)),
-    "bytes-1": lambda text: F.octet_length(text),
-}
+def counted(docs: DataFrame, paths: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """(source, lang, tokens, *keep) of each row of ``docs``: the tokens by each vocabulary file, in the order of ``paths``."""
+    schema = docs.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), *[F.col(c) for c in keep], F.col("text").cast("binary").alias("text"))
+    out = ", ".join([*(f"`{n}` {t}" for n, t in schema.dtypes[:-1]), "tokens array<long>"])
 
+    def run(batches):
+        own = [encoder(p) for p in paths]
+        for batch, texts in byte_batches(batches, "text"):
+            plain = [(x or b"").decode("utf-8", "replace") for x in texts]
+            counts = np.array([e.counts(plain) for e in own], dtype=np.int64).T
+            tokens = pa.ListArray.from_arrays(pa.array(np.arange(0, counts.size + 1, len(own)), pa.int32()), pa.array(counts.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], tokens], names=[*batch.schema.names[:-1], "tokens"])
+        give_back()
 
-def tokens_of(text: Column, tokenizer: str) -> Column:
-    return F.coalesce(TOKENIZERS[tokenizer](text), F.lit(0)).cast("long")
+    return schema.mapInArrow(run, out)
 
 
-def change(docs: DataFrame, sign: int, tokens: Column, tokenizer: Column) -> DataFrame:
-    """Rows (source, lang, tokenizer, documents, tokens) that add (1) or take away (-1) documents."""
-    return docs.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), tokenizer.alias("tokenizer"), F.lit(sign).cast("long").alias("documents"), (F.lit(sign) * tokens).cast("long").alias("tokens"))
+def change(rows: DataFrame, sign: int, tokenizer: str, version: int = 0) -> DataFrame:
+    """Signed rows from ``counted`` rows: documents that are added (1) or taken away (-1), by the ``version``-th count."""
+    return rows.select("source", "lang", F.lit(tokenizer).alias("tokenizer"), F.lit(sign).cast("long").alias("documents"), (F.lit(sign) * F.element_at("tokens", version + 1)).alias("tokens"))
 
 
-def insert(docs: DataFrame, tokenizer: str) -> DataFrame:
-    return change(docs, 1, tokens_of(F.col("text"), tokenizer), F.lit(tokenizer))
+def insert(rows: DataFrame, tokenizer: str, version: int = 0) -> DataFrame:
+    return change(rows, 1, tokenizer, version)
 
 
-def delete(docs: DataFrame, tokenizer: str) -> DataFrame:
-    return change(docs, -1, tokens_of(F.col("text"), tokenizer), F.lit(tokenizer))
+def delete(rows: DataFrame, tokenizer: str, version: int = 0) -> DataFrame:
+    return change(rows, -1, tokenizer, version)
 
 
-def revise(old: DataFrame, new: DataFrame, tokenizer: str, new_tokenizer: str | None = None) -> DataFrame:
-    return delete(old, tokenizer).union(insert(new, new_tokenizer or tokenizer))
+def revise(old: DataFrame, new: DataFrame, tokenizer: str, version: int = 0, new_tokenizer: str | None = None, new_version: int | None = None) -> DataFrame:
+    """The old rows' counts out, the new rows' in; also from one tokenizer version to another."""
+    return delete(old, tokenizer, version).unionByName(insert(new, new_tokenizer or tokenizer, version if new_version is None else new_version))
 
 
 def summed(deltas: DataFrame) -> DataFrame:
@@ -58,19 +78,41 @@ def summed(deltas: DataFrame) -> DataFrame:
 
 
 class Rollup:
-    """Committed deltas in a folder that all executors share."""
+    """Committed deltas and snapshots of their totals in a folder that all executors share."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _batch(self, batch_id: str) -> str:
-        if not re.fullmatch(r"[\w.-]+", batch_id):
-            raise ValueError(f"not a batch id: {batch_id!r}")
-        return f"{self.folder}/batch={batch_id}"
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+
+    def _names(self, name: str) -> list[str]:
+        path = self._path(name)
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return sorted(x.getPath().getName() for x in files.listStatus(path)) if files.exists(path) else []
+
+    def _publish(self, attempt: str, name: str) -> bool:
+        """Rename a finished attempt, unless another holds the name; whether it was renamed."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        source, goal = self._path(attempt), self._path(name)
+        files = source.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        files.mkdirs(goal.getParent())
+        source, goal = files.makeQualified(source), files.makeQualified(goal)
+        how = self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+        how[0] = hadoop.Options.Rename.NONE
+        try:
+            hadoop.FileContext.getFileContext(source.toUri(), self.spark._jsc.hadoopConfiguration()).rename(source, goal, how)
+        except Exception:
+            if not files.exists(goal):
+                raise
+            files.delete(source, True)
+            return False
+        return True
 
     def committed(self, batch_id: str) -> bool:
-        marker = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self._batch(batch_id)}/_SUCCESS")
-        return marker.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(marker)
+        if not re.fullmatch(r"[A-Za-z0-9-][A-Za-z0-9_.-]*", batch_id):
+            raise ValueError(f"not a batch id: {batch_id!r}")
+        return batch_id in self._names("deltas")
 
     def commit(self, batch_id: str, *changes: DataFrame) -> bool:
         """Write the batch's deltas, unless it is committed already; whether it was written now."""
@@ -79,44 +121,68 @@ class Rollup:
         rows = changes[0]
         for more in changes[1:]:
             rows = rows.unionByName(more)
-        summed(rows).write.mode("overwrite").parquet(self._batch(batch_id))
-        return True
+        attempt = f"attempts/{uuid.uuid4().hex}"
+        summed(rows).write.parquet(f"{self.folder}/{attempt}")
+        return self._publish(attempt, f"deltas/{batch_id}")
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, documents, tokens) over all committed batches."""
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        names = [x.getPath().getName() for x in files.listStatus(root)] if files.exists(root) else []
-        ids = [n.removeprefix("batch=") for n in names if n.startswith("batch=")]
-        paths = [self._batch(i) for i in ids if self.committed(i)]
-        rows = self.spark.read.schema(DELTA).parquet(*paths) if paths else self.spark.createDataFrame([], DELTA)
-        return summed(rows).where((F.col("documents") != 0) | (F.col("tokens") != 0))
+        return self._added(self._latest(), self._names("deltas")).where((F.col("documents") != 0) | (F.col("tokens") != 0))
+
+    def overdrawn(self) -> DataFrame:
+        """Groups that more was taken from than added."""
+        return self.totals().where((F.col("documents") < 0) | (F.col("tokens") < 0))
+
+    def _latest(self) -> int:
+        return max((int(n) for n in self._names("snapshots")), default=0)
+
+    def _inside(self, snapshot: int) -> set[str]:
+        return {r["batch"] for r in self.spark.read.parquet(f"{self.folder}/snapshots/{snapshot}/batches").collect()} if snapshot else set()
+
+    def _added(self, snapshot: int, names: list[str]) -> DataFrame:
+        """The snapshot's totals and the deltas ``names`` that it doesn't hold."""
+        inside = self._inside(snapshot)
+        paths = [f"{self.folder}/deltas/{n}" for n in names if n not in inside]
+        if snapshot:
+            paths.append(f"{self.folder}/snapshots/{snapshot}/totals")
+        return summed(self.spark.read.schema(DELTA).parquet(*paths) if paths else self.spark.createDataFrame([], DELTA))
+
+    def compact(self) -> int:
+        """Write the next snapshot of the totals; its number. Deltas that it holds are no longer read."""
+        last = self._latest()
+        names = self._names("deltas")
+        if set(names) == self._inside(last):
+            return last
+        attempt = f"attempts/{uuid.uuid4().hex}"
+        self._added(last, names).write.parquet(f"{self.folder}/{attempt}/totals")
+        self.spark.createDataFrame([(n,) for n in names], "batch string").write.parquet(f"{self.folder}/{attempt}/batches")
+        self._publish(attempt, f"snapshots/{last + 1}")
+        return last + 1
 
 
 def shared_folder(spark: SparkSession) -> str:
-    durable(spark.range(1))  # sets the checkpoint folder where it is unset
-    return f"{spark.sparkContext.getCheckpointDir()}/rollup-{uuid.uuid4().hex}"
+    return f"{checkpoint_folder(spark)}/rollup-{uuid.uuid4().hex}"
 
 
-def replay(docs: DataFrame, folder: str) -> DataFrame:
-    """Totals after a history over all of ``docs``.
+def replay(docs: DataFrame, folder: str, tokenizers: dict[str, str]) -> DataFrame:
+    """Totals of all of ``docs`` by both versions of ``tokenizers`` (name to file), after a history that ends with them.
 
-    All documents come in, counted in words; those with doc_id mod 4 = 1 are revised to byte counts; the revision is
-    sent twice; those with remainder 3 are deleted.
+    Documents come in by the first version, those with doc_id mod 4 = 1 as drafts, the first half of their text. The drafts
+    are revised to the whole texts, and the revision is sent twice. Those with remainder 2 are deleted, totals are
+    compacted, and they come back. Then all are counted by the second version, too.
     """
-    rollup = Rollup(docs.sparkSession, folder)
+    (first, a), (second, b) = tokenizers.items()
     rest = F.pmod("doc_id", F.lit(4))
-    rollup.commit("insert", insert(docs, "words-1"))
+    whole = durable(counted(docs.withColumn("rollup_rest", rest), [a, b], ("rollup_rest",)))
+    draft = counted(docs.where(rest == 1).withColumn("text", F.substring("text", F.lit(1), F.floor(F.length("text") / 2).cast("int"))), [a])
+    of = lambda k: whole.where(F.col("rollup_rest") == k)
+    rollup = Rollup(docs.sparkSession, folder)
+    draft = durable(draft)
+    rollup.commit("insert", insert(whole.where("rollup_rest IS NULL OR rollup_rest <> 1"), first), insert(draft, first))
     for _ in range(2):
-        rollup.commit("revise", revise(docs.where(rest == 1), docs.where(rest == 1), "words-1", "bytes-1"))
-    rollup.commit("delete", delete(docs.where(rest == 3), "words-1"))
+        rollup.commit("revise", revise(draft, of(1), first))
+    rollup.commit("delete", delete(of(2), first))
+    rollup.compact()
+    rollup.commit("restore", insert(of(2), first))
+    rollup.commit("recount", insert(whole, second, 1))
     return rollup.totals()
-
-
-ORACLE = """
-SELECT source, lang, tokenizer, count(*)::BIGINT AS documents, sum(tokens)::BIGINT AS tokens
-FROM (SELECT source, lang, CASE WHEN k = 1 THEN 'bytes-1' ELSE 'words-1' END AS tokenizer,
-             CASE WHEN k = 1 THEN COALESCE(strlen(text), 0) ELSE COALESCE(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) END AS tokens
-      FROM (SELECT *, ((doc_id % 4) + 4) % 4 AS k FROM documents) WHERE k IS NULL OR k <> 3)
-GROUP BY source, lang, tokenizer
-"""

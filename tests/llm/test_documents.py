@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from basewise.llm import langid, lm, minhash, mixing, packing, substrings, token_rollup
 from basewise.llm.common import window_hashes, words_of
@@ -214,20 +215,69 @@ def test_large_regions_meet_in_parts(monkeypatch, docs, messy):
     assert sorted((tuple(r) for r in minhash.near_duplicates(docs, 2).collect()), key=key) == sorted(brute_minhash(messy, 2), key=key)
 
 
+def counts_of(paths):
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    path, own = tokenizer()
+    with open(paths[1], "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    multi = tiktoken.Encoding("multi", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return [lambda x: len(own.encode(x or "", add_special_tokens=False).ids), lambda x: len(multi.encode_ordinary(x or ""))]
+
+
+def rollup_paths():
+    files = pytest.importorskip("public_tokenizers")
+    return [files.path("byte_bpe_50k.json"), files.path("byte_bpe_multi_50k.tiktoken")]
+
+
 def test_token_rollup(spark, docs, messy, empty, tmp_path):
+    paths = rollup_paths()
+    count = counts_of(paths)
+    rows = token_rollup.counted(docs, paths).persist()
     rollup = token_rollup.Rollup(spark, str(tmp_path / "r"))
-    assert rollup.totals().count() == 0
-    assert rollup.commit("a", token_rollup.insert(docs, "words-1")) and not rollup.commit("a", token_rollup.insert(docs, "words-1"))
+    assert rollup.totals().count() == 0 and rollup.compact() == 0
+    assert rollup.commit("a", token_rollup.insert(rows, "one")) and not rollup.commit("a", token_rollup.insert(rows, "one"))
+    table = lambda: {(r["source"], r["lang"], r["tokenizer"]): (r["documents"], r["tokens"]) for r in rollup.totals().collect()}
     want = collections.Counter()
     for r in messy:
-        want[r[3], r[2]] += len(words(r[1]))
-    got = {(r["source"], r["lang"]): r["tokens"] for r in rollup.totals().collect()}
-    assert got == {k: want[k] for k in got} and set(got) == set(want)
-    (tmp_path / "r" / "batch=lost").mkdir()
-    assert rollup.commit("lost", token_rollup.delete(docs, "words-1")) and rollup.totals().count() == 0
-    assert rollup.commit("none", token_rollup.insert(empty, "words-1")) and rollup.committed("none")
+        want[r[3], r[2], "one"] += count[0](r[1])
+    first = table()
+    assert {k: v[1] for k, v in first.items()} == dict(want) and sum(v[0] for v in first.values()) == len(messy)
+    assert rollup.compact() == 1 and rollup.compact() == 1 and table() == first
+    # A revised text, then another version, and a second writer that lost.
+    old = docs.where("doc_id = 3")
+    new = old.withColumn("text", F.lit("only these words")).withColumn("lang", F.lit("zz"))
+    assert rollup.commit("b", token_rollup.revise(token_rollup.counted(old, paths), token_rollup.counted(new, paths), "one"))
+    key = next((r[3], r[2], "one") for r in messy if r[0] == 3)
+    now = table()
+    assert now[key[0], "zz", "one"] == (1, count[0]("only these words")) and now.get(key, (0, 0))[1] == first[key][1] - count[0](next(r[1] for r in messy if r[0] == 3))
+    token_rollup.summed(token_rollup.insert(rows, "one")).write.parquet(str(tmp_path / "r" / "attempts" / "late"))
+    assert not rollup._publish("attempts/late", "deltas/b") and not (tmp_path / "r" / "attempts" / "late").exists() and table() == now
+    assert rollup.commit("c", token_rollup.revise(rows, rows, "one", 0, "two", 1)) and rollup.compact() == 2 and rollup.compact() == 2
+    two = collections.Counter()
+    for r in messy:
+        two[r[3], r[2], "two"] += count[1](r[1])
+    assert {k: v[1] for k, v in table().items() if k[2] == "two"} == dict(two)
+    assert rollup.commit("none", token_rollup.insert(token_rollup.counted(empty, paths), "one")) and rollup.committed("none")
+    assert rollup.overdrawn().count() == 1 and rollup.overdrawn().first()["lang"] == key[1]
     with pytest.raises(ValueError):
-        rollup.commit("../x", token_rollup.insert(docs, "words-1"))
+        rollup.commit("../x", token_rollup.insert(rows, "one"))
+
+
+def test_replayed_history_ends_with_all_documents(spark, docs, messy, empty, tmp_path):
+    paths = rollup_paths()
+    versions = dict(zip(("one", "two"), paths, strict=True))
+    want = collections.defaultdict(lambda: [0, 0])
+    for name, count in zip(versions, counts_of(paths), strict=True):
+        for r in messy:
+            want[r[3], r[2], name][0] += 1
+            want[r[3], r[2], name][1] += count(r[1])
+    got = token_rollup.replay(docs, str(tmp_path / "r"), versions).collect()
+    assert {(r["source"], r["lang"], r["tokenizer"]): [r["documents"], r["tokens"]] for r in got} == dict(want)
+    assert token_rollup.replay(empty, str(tmp_path / "e"), versions).count() == 0
 
 
 def tokenizer():
