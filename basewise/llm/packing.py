@@ -1,7 +1,7 @@
 """Cost-balanced packing of token documents into fixed-length sequences.
 
 Documents are tokenised once. Whole sequences are cut off long documents; the remainders are dealt by hash into groups
-of bounded size. In a group the number of sequences is what the tokens fill, and the remainders, in descending
+whose number follows the documents and their bytes, not the cluster. In a group the number of sequences is what the tokens fill, and the remainders, in descending
 estimated cost (linear plus quadratic attention cost of the piece), each go to the sequence of lowest cost that has
 room for them; one that fits nowhere is cut over the sequences of lowest cost. A group's padding is less than one
 sequence in all.
@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_batches, give_back, mix, shuffle_partitions, span_hashes
+from .common import byte_batches, give_back, mix, span_hashes
 
 SEQUENCE = 1024
-#: Documents of which the remainders meet in one group.
-GROUP_DOCUMENTS = 8192
+#: Documents of which the remainders meet in one group: so many at least and at most, and in between by bytes of text.
+GROUP_DOCUMENTS, MOST_DOCUMENTS, GROUP_BYTES = 8192, 1 << 16, 4 << 20
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 #: Fixed values of the vocabulary's splitting pattern: the endings split off after an apostrophe.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -240,8 +240,8 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def pack(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, end_id: int = 0, linear: float = 1.0, quadratic: float = 1.0 / SEQUENCE) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    spark = docs.sparkSession
-    groups = max(shuffle_partitions(spark), -(-docs.count() // GROUP_DOCUMENTS))
+    rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    groups = max(1, min(rows // GROUP_DOCUMENTS, size // GROUP_BYTES), -(-rows // MOST_DOCUMENTS))
 
     def tokenise(batches):
         encode = encoder(tokenizer_path)

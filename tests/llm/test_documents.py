@@ -112,9 +112,13 @@ def test_mixing(docs, messy, empty):
             assert r["source_size"] == sizes[s] and abs(r["target"] - target[s]) < 1e-6
             taken[s] += r["taken"]
             largest[s] = max(largest[s], r["size"])
+    sizes_of = collections.defaultdict(list)
+    for r in messy:
+        sizes_of[r[3]].append(len(words(r[1])))
     for s in names:
-        if s in ("s1", "s2", "s3"):
-            assert taken[s] <= target[s] + 1e-6 and taken[s] > target[s] - 4 * largest[s] - 1
+        # Within a small document of the target, or without one that would fit.
+        missing = target[s] - sum(r["taken"] for r in got if r["source_size"] == sizes[s] and abs(r["target"] - target[s]) < 1e-6)
+        assert -1e-6 <= missing <= max(largest[s] / 8, 1) or len(sizes_of[s]) < 5
     assert sorted(map(key, mixing.mix(docs).collect())) == sorted(map(key, got))
     rows = mixing.mixed_rows(docs)
     assert rows.columns == docs.columns
@@ -122,9 +126,23 @@ def test_mixing(docs, messy, empty):
     for r in got:
         if r["size"] and r["doc_id"] is not None and r["doc_id"] != 5:
             assert times[r["doc_id"]] == r["taken"] // r["size"]
+    assert times[5] == sum(r["taken"] // r["size"] for r in got if r["doc_id"] == 5)
     assert mixing.mix(empty).count() == 0 and mixing.mixed_rows(empty).count() == 0
 
 
+def test_mixing_takes_part_of_repeated_rows(spark):
+    """Rows without id, and rows that repeat one id and text, are taken in part and alike on every run."""
+    rows = [(None, f"w{i} a b", "x") for i in range(200)] + [(7, "a b c", "y")] * 300 + [(100 + i, "a b c d", "z") for i in range(500)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    first = sorted(map(key, mixing.mix(table.repartition(5), weights=(1.0, 1.0, 1.0), share=0.5).collect()))
+    assert first == sorted(map(key, mixing.mix(table.repartition(3), weights=(1.0, 1.0, 1.0), share=0.5).collect()))
+    out = mixing.mix(table, weights=(1.0, 1.0, 1.0), share=0.5).collect()
+    for size in (600, 900, 2000):
+        own = [r for r in out if r["source_size"] == size]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 4 and 0 < own[0]["target"] < size
+    assert mixing.mixed_rows(table, weights=(1.0, 1.0, 1.0), share=0.5).count() == sum(r["taken"] // r["size"] for r in out)
+
+
 def test_language(docs, messy, empty):
     got = {r["doc_id"]: r for r in langid.predict_languages(docs).collect() if r["doc_id"] is not None}
     for r in messy:
@@ -329,6 +347,34 @@ def test_pack_group_balances():
     for _, _, n, k, _ in plan:
         fill[k] += n
     assert len(fill) == -(-lengths.sum() // 1024) and sum(fill.values()) == lengths.sum() and max(fill.values()) <= 1024
+    # Costs are balanced: far closer to each other than where documents are put in order into the first that has room.
+    cost, plain = collections.Counter(), [0.0]
+    for _, _, n, k, _ in plan:
+        cost[k] += packing.piece_cost(n, 1.0, 1 / 1024)
+    room = 1024
+    for n in lengths.tolist():
+        if n > room:
+            plain.append(0.0)
+            room = 1024
+        room -= n
+        plain[-1] += packing.piece_cost(n, 1.0, 1 / 1024)
+    spread = lambda x: np.std(list(x)) / np.mean(list(x))
+    assert spread(cost.values()) < 0.6 * spread(plain)
+
+
+@pytest.mark.parametrize("partitions", ["3", "200"])
+def test_packing_pads_little(spark, partitions):
+    path, _ = tokenizer()
+    r = np.random.default_rng(1)
+    texts = [(i, " ".join("word" for _ in range(int(n)))) for i, n in enumerate(np.clip(r.lognormal(5, 1.2, 1000), 1, 20_000))]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        got = packing.pack(spark.createDataFrame(texts, "doc_id long, text string"), path).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    tokens = sum(r["length"] for r in got)
+    assert 1 - tokens / (1024 * len({r["sequence_id"] for r in got})) < 0.01
 
 
 def test_lm(docs, messy, empty):
