@@ -1,17 +1,17 @@
 """Mixing sources to target weights by hash-threshold histograms, in DataFrame functions only.
 
-Every row has a 60-bit hash of its id and text. For each source the tokens are summed by the leading hash bits, the bucket
+Every row has a 40-bit hash of its id and text. For each source the tokens are summed by the leading hash bits, the bucket
 in which the running sum passes the source's budget is found, and only that bucket is summed again by its next bits,
 until the threshold is exact. A document is then taken when its hash lies below its source's threshold: no sort, no
 row-level join, and the same choice on every run. What the first document that doesn't fit leaves of the budget is filled
-by further thresholds (``ROUNDS`` in all) over the documents beyond that are at most an eighth of what is left, so that a
-source ends within a small document of its target, as far as it has small documents.
+by further thresholds (``ROUNDS`` in all) over the documents beyond that are no larger than what is left, so that a source
+ends within a small document of its target, as far as it has small documents.
 
 Rows that repeat an id and text are told apart by their rank among themselves, which is part of their hash. Ranks are dealt
 by input partition, so that a row that is repeated very often doesn't meet in one task; such rows are alike, so it makes no
 difference to the mix which has which rank.
 
-Defined cases: null text has size 0; null source is a source of its own, ordered last; a null doc_id hashes as the
+Defined cases: documents of equal hash are taken or left together; null text has size 0; null source is a source of its own, ordered last; a null doc_id hashes as the
 empty string; an empty table gives no rows.
 """
 
@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from .common import WORD, durable, free_name
 
 #: Hash bits told apart by one histogram, and how many histograms are nested.
-BITS, LEVELS = 20, 3
-#: Thresholds of each source, and how small a document must be beside what is left to count for the next one.
-ROUNDS, PART = 3, 8
+BITS, LEVELS = 20, 2
+#: Thresholds of each source.
+ROUNDS = 3
 #: Up to so many sources the table of thresholds is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_SOURCES = 100_000
 
@@ -39,10 +39,10 @@ def identity(docs: DataFrame) -> Column:
     return F.concat(F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.lit(" "), F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")))
 
 
-def hash60(key: Column, rank: Column) -> Column:
-    """The first 60 bits of the MD5 of a row's identity and rank."""
+def hash40(key: Column, rank: Column) -> Column:
+    """The first 40 bits of the MD5 of a row's identity and rank."""
     digest = F.md5(F.concat(key, F.lit(" "), rank.cast("string")).cast("binary"))
-    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+    return F.conv(F.substring(digest, 1, 10), 16, 10).cast("long")
 
 
 def hashed(rows: DataFrame, key: str, h: str) -> DataFrame:
@@ -50,7 +50,7 @@ def hashed(rows: DataFrame, key: str, h: str) -> DataFrame:
     rows = durable(rows)
     repeated = rows.groupBy(key).agg(F.count("*").alias(h)).where(F.col(h) > 1).select(key)
     if repeated.isEmpty():
-        return rows.withColumn(h, hash60(F.col(key), F.lit(0))).drop(key)
+        return rows.withColumn(h, hash40(F.col(key), F.lit(0))).drop(key)
     part, before, rank = (free_name(rows, f"{key}_{x}") for x in ("part", "before", "rank"))
     repeated = durable(repeated)
     several = durable(rows.join(repeated, key, "left_semi").withColumn(part, F.spark_partition_id()))
@@ -59,7 +59,7 @@ def hashed(rows: DataFrame, key: str, h: str) -> DataFrame:
     ranked = several.join(counts, [key, part]).withColumn(rank, F.col(before) + F.row_number().over(Window.partitionBy(key, part).orderBy(F.lit(0))) - 1)
     one = rows.join(repeated, key, "left_anti").withColumn(rank, F.lit(0).cast("long"))
     both = one.unionByName(ranked.drop(part, before))
-    return both.withColumn(h, hash60(F.col(key), F.col(rank))).drop(key, rank)
+    return both.withColumn(h, hash40(F.col(key), F.col(rank))).drop(key, rank)
 
 
 def source_targets(sizes: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -112,22 +112,19 @@ def thresholds(sized: DataFrame, **how) -> tuple[DataFrame, bool]:
     for _ in range(ROUNDS):
         state = _threshold(sized, state.withColumn("lo", F.lit(0).cast("long")).withColumn("open", F.lit(True)), small)
         found = F.array(F.struct(F.col("most"), F.col("lo").alias("threshold"))).cast(limit)
-        state = state.select("source", "source_size", "target", "base", "budget", F.col("lo").alias("start"), (F.col("budget") / PART).alias("most"), F.concat("limits", found).alias("limits"))
+        state = state.select("source", "source_size", "target", "base", "budget", F.col("lo").alias("start"), F.col("budget").alias("most"), F.concat("limits", found).alias("limits"))
     return state.select("source", "source_size", "target", "base", "limits"), small
 
 
 def _threshold(sized: DataFrame, state: DataFrame, small: bool) -> DataFrame:
     """``state`` with the threshold as ``lo``, and what is left of the budget below it."""
-    rows, columns = sized, state.columns
+    columns = state.columns
     for level in range(LEVELS):
         shift = BITS * (LEVELS - 1 - level)
         limits = state.where("open").select("source", "budget", "lo", "start", "most")
-        inside = _by_source(rows, limits, small).where((F.col("h") >= F.col("start")) & (F.col("size") <= F.col("most")))
+        inside = _by_source(sized, limits, small).where((F.col("h") >= F.col("start")) & (F.col("size") <= F.col("most")))
         if level:
             inside = inside.where(F.shiftright("h", shift + BITS) == F.shiftright("lo", shift + BITS))
-            if level == 1:
-                rows = durable(inside.select("source", "size", "h"))
-                inside = _by_source(rows, limits, small)
         histogram = inside.groupBy("source", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("tokens"), F.first("budget").alias("budget"))
         running = F.sum("tokens").over(Window.partitionBy("source").orderBy("bucket"))
         summed = histogram.withColumn("upto", running).withColumn("over", F.col("upto") > F.col("budget"))
@@ -174,7 +171,7 @@ def mixed_rows(docs: DataFrame, **how) -> DataFrame:
 ORACLE = """
 WITH d AS (
   SELECT doc_id, source, COALESCE(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(COALESCE(doc_id::VARCHAR, '') || ' ' || md5(COALESCE(text, '')) || ' ' || (row_number() OVER (PARTITION BY doc_id, COALESCE(text, '')) - 1)::VARCHAR), 1, 15))::BIGINT AS h
+         ('0x' || substr(md5(COALESCE(doc_id::VARCHAR, '') || ' ' || md5(COALESCE(text, '')) || ' ' || (row_number() OVER (PARTITION BY doc_id, COALESCE(text, '')) - 1)::VARCHAR), 1, 10))::BIGINT AS h
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 n AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS n FROM s),
@@ -188,9 +185,9 @@ b AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGI
 r0 AS (SELECT doc_id, d.source, size, source_size, target, base, h, target - base * source_size AS room FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source),
 r1 AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= room AS t1 FROM r0),
 q1 AS (SELECT *, room - COALESCE(sum(size) FILTER (t1) OVER (PARTITION BY source), 0) AS room1 FROM r1),
-r2 AS (SELECT *, NOT t1 AND size <= room1 / 8 AND sum(CASE WHEN NOT t1 AND size <= room1 / 8 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= room1 AS t2 FROM q1),
+r2 AS (SELECT *, NOT t1 AND size <= room1 AND sum(CASE WHEN NOT t1 AND size <= room1 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= room1 AS t2 FROM q1),
 q2 AS (SELECT *, room1 - COALESCE(sum(size) FILTER (t2) OVER (PARTITION BY source), 0) AS room2 FROM r2),
-r3 AS (SELECT *, NOT t1 AND NOT t2 AND size <= room2 / 8 AND sum(CASE WHEN NOT t1 AND NOT t2 AND size <= room2 / 8 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= room2 AS t3 FROM q2)
+r3 AS (SELECT *, NOT t1 AND NOT t2 AND size <= room2 AND sum(CASE WHEN NOT t1 AND NOT t2 AND size <= room2 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= room2 AS t3 FROM q2)
 SELECT doc_id, size, source_size, target, (size * (base + CASE WHEN t1 OR t2 OR t3 THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM r3
 """
