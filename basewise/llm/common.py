@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -146,6 +146,28 @@ def even_labels(spark: SparkSession, n: int, partitions: int) -> list[int]:
         tries *= 2
 
 
+def label_table(spark: SparkSession, n: int, partitions: int) -> DataFrame:
+    """(slot, label): ``n`` slots from 0 with distinct integers that hash partitioning deals evenly over ``partitions``.
+
+    Nothing passes through the driver; for slots of a fixed amount of data the table is small enough to broadcast.
+    """
+    want = -(-n // partitions)
+    label = F.col("id").cast("int")
+    tried = spark.range(partitions * (4 * want + 64)).select(label.alias("label"), F.pmod(F.hash(label), F.lit(partitions)).alias("p"))
+    ranked = tried.withColumn("k", F.row_number().over(Window.partitionBy("p").orderBy("label")) - 1)
+    return ranked.select((F.col("k") * partitions + F.col("p")).alias("slot"), "label").where(F.col("slot") < n)
+
+
+def range_of(value: Column, bounds: list) -> Column:
+    """How many of the sorted ``bounds`` are at most ``value``, by binary search; 0 for null."""
+    if not bounds:
+        return F.lit(0)
+    at, n = F.array(*[F.lit(b) for b in bounds]), len(bounds)
+    steps = F.array(*[F.lit(1 << k) for k in range(n.bit_length() - 1, -1, -1)])
+    further = lambda done, step: F.when((done + step <= n) & F.coalesce(F.get(at, done + step - 1) <= value, F.lit(False)), done + step).otherwise(done)
+    return F.aggregate(steps, F.lit(0), further)
+
+
 def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
@@ -170,6 +192,16 @@ def byte_batches(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUN
                 yield batch.slice(at), values[at:]
 
 
+def hold_memory() -> None:
+    """Let this worker keep freed memory for its next arrays until ``give_back``, instead of mapping pages for each anew."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 32 << 20)  # fixed values: M_MMAP_THRESHOLD, M_TRIM_THRESHOLD
+        libc.mallopt(-1, 512 << 20)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def give_back() -> None:
     """Return freed memory of this worker to the system; a worker lives on after its task."""
     pa.default_memory_pool().release_unused()

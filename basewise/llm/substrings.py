@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_batches, even_labels, free_name, give_back, shuffle_partitions, window_hashes, words_of
+from .common import byte_batches, free_name, give_back, label_table, range_of, shuffle_partitions, window_hashes, words_of
 
 SYMBOL_BITS, PREFIX_WORDS = 4, 3
 SLOTS = 1 << (SYMBOL_BITS * PREFIX_WORDS)
@@ -130,31 +130,30 @@ def drop_repeats(docs: DataFrame, min_words: int = 13, n_words: str = "n_words",
     partitions = shuffle_partitions(spark)
     counts, size = prefix_counts(docs, min_words)
     chunks = max(partitions, -(-size // CHUNK_TEXT))
-    capacity = max(1, min(GROUP_SUFFIXES, -(-int(counts.sum()) // partitions)))
-    group, parts, groups = prefix_groups(counts, capacity)
-    names = np.array(even_labels(spark, groups, partitions), dtype=np.int64)
+    # A few groups for each partition, so that hashing deals them evenly enough.
+    capacity = max(1, min(GROUP_SUFFIXES, -(-int(counts.sum()) // (4 * partitions))))
+    group, parts, _ = prefix_groups(counts, capacity)
     bounds = docs.select(F.percentile_approx("doc_id", [i / chunks for i in range(1, chunks)], 20 * chunks).alias("b")).first()["b"] if chunks > 1 else []
-    labels = even_labels(spark, chunks, partitions)
-    rank = {x: i for i, x in enumerate(labels)}
-    chunk = free_name(docs, "chunk")
-    place = F.size(F.filter(F.array(*[F.lit(b) for b in sorted(bounds or [])]), lambda b: b <= F.col("doc_id"))) if bounds else F.lit(0)
-    dealt = docs.withColumn(chunk, F.element_at(F.array(*[F.lit(x) for x in labels]), F.greatest(F.coalesce(place, F.lit(0)), F.lit(0)) + 1))
-    dealt = dealt.repartition(partitions, chunk)
-    shared = spark.sparkContext.broadcast((group, parts, names, rank))
+    chunk, slot = free_name(docs, "chunk"), free_name(docs, "slot")
+    # A row per CHUNK_TEXT bytes of text.
+    labels = label_table(spark, chunks, partitions).select(F.col("slot").alias(slot), F.col("label").alias(chunk))
+    dealt = docs.withColumn(slot, range_of(F.col("doc_id"), sorted(bounds or []))).join(F.broadcast(labels), slot)
+    dealt = dealt.select(*[docs[c] for c in docs.columns], chunk, slot).repartition(partitions, chunk)
+    shared = spark.sparkContext.broadcast((group, parts))
 
     def send(batches):
-        group, parts, names, _ = shared.value
-        held: dict[int, list] = {}
+        group, parts = shared.value
+        held: dict[tuple[int, int], list] = {}
         for batch, texts in byte_batches(batches, "text"):
-            own = batch.column(batch.schema.get_field_index(chunk)).to_numpy(zero_copy_only=False)
+            own, place = (batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in (chunk, slot))
             known = batch.column(batch.schema.get_field_index("doc_id")).is_valid().to_numpy(zero_copy_only=False)
-            label, slot, owner, _, _ = suffix_labels(texts, min_words)
-            to = group[slot] + (label % parts[slot].astype(np.uint64)).astype(np.int64)
+            label, prefix, owner, _, _ = suffix_labels(texts, min_words)
+            to = group[prefix] + (label % parts[prefix].astype(np.uint64)).astype(np.int64)
             for c in np.unique(own):
                 mine = (known & (own == c))[owner]
-                held.setdefault(int(c), []).append((label[mine], to[mine].astype(np.int32)))
-        for c in list(held):
-            found = held.pop(c)
+                held.setdefault((int(c), int(place[own == c][0])), []).append((label[mine], to[mine].astype(np.int32)))
+        for c, at_slot in list(held):
+            found = held.pop((c, at_slot))
             label, at = np.unique(np.concatenate([x for x, _ in found]), return_index=True)
             to = np.concatenate([x for _, x in found])[at]
             order = np.argsort(to, kind="stable")
@@ -162,14 +161,13 @@ def drop_repeats(docs: DataFrame, min_words: int = 13, n_words: str = "n_words",
             edge = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else np.empty(0, dtype=np.int64)
             end = np.append(edge[1:], len(to))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names[to[edge]].astype(np.int32)), pa.array(np.full(len(edge), c, dtype=np.int32)), pa.array([label[a:b].tobytes() for a, b in zip(edge, end, strict=True)], pa.binary())],
-                names=["g", "c", "labels"],
+                [pa.array(to[edge].astype(np.int32)), *(pa.array(np.full(len(edge), x, dtype=np.int32)) for x in (c, at_slot)), pa.array([label[a:b].tobytes() for a, b in zip(edge, end, strict=True)], pa.binary())],
+                names=["g", "c", "slot", "labels"],
             )
 
     def meet(t: pa.Table) -> pa.Table:
-        rank = shared.value[3]
-        own = t.column("c").to_pylist()
-        order = sorted(range(len(own)), key=lambda i: rank[own[i]])
+        own, place = t.column("c").to_pylist(), t.column("slot").to_pylist()
+        order = sorted(range(len(own)), key=lambda i: place[i])
         arrays = [np.frombuffer(t.column("labels")[i].as_py(), dtype=np.uint64) for i in order]
         label = np.concatenate(arrays)
         source = np.repeat(np.arange(len(order), dtype=np.int32), [len(x) for x in arrays])
@@ -222,12 +220,11 @@ def drop_repeats(docs: DataFrame, min_words: int = 13, n_words: str = "n_words",
             else:
                 all_spans.append([])
             texts.append(b" ".join(x).decode("utf-8", "replace"))
-        at = left.schema.get_field_index(chunk)
-        columns = [left.column(i) for i in range(left.num_columns) if i != at]
+        columns = [left.column(i) for i, name in enumerate(left.schema.names) if name not in (chunk, slot)]
         give_back()
         return pa.Table.from_arrays([*columns, pa.array(n_of, pa.int64()), pa.array(removed, pa.int64()), pa.array(all_spans, arrow_span), pa.array(texts, pa.string())], names=schema.names)
 
-    answers = dealt.mapInArrow(send, "g int, c int, labels binary").groupBy("g").applyInArrow(meet, "c int, labels binary")
+    answers = dealt.mapInArrow(send, "g int, c int, slot int, labels binary").groupBy("g").applyInArrow(meet, "c int, labels binary")
     return dealt.groupBy(chunk).cogroup(answers.groupBy("c")).applyInArrow(settle, schema)
 
 

@@ -394,9 +394,9 @@ def test_network_gradients_and_windows():
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     x, y, keep = rng.integers(0, 30, (5, 3)), rng.integers(0, 30, (5, 3)), np.ones((5, 3))
     x[0], keep[2, 1] = -1, 0
-    net.run_start = np.zeros((3, 4))
-    loss = lambda: -net.log_probs(net.run(x, net.run_start, keep)[0].reshape(-1, 4), y.ravel()).mean()
-    g, _ = net.gradients(x, y, keep, net.run_start)
+    start = np.zeros((4, 3))
+    loss = lambda: -net.log_probs(net.flat(net.run(x, start, keep)[0]), y.ravel()).mean()
+    g, _ = net.gradients(x, y, keep, start)
     for k in net.p:
         at = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
         net.p[k][at] += 1e-3
