@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import gaps, overlaps, promoters
+from .intervals import gaps, nearest, overlaps, promoters
 
 #: Kinds of the two tilings, the strongest last.
 FULL = ("intron", "exon")
@@ -85,3 +85,20 @@ def annotate_counts(regions: DataFrame, states: DataFrame, names: Sequence[str],
     hits = annotate_hits(regions, states, min_overlap, ignore_strand)
     counts = hits.groupBy("region_id", "chr").agg(*[F.count(F.when(F.col("state") == s, 1)).alias(s) for s in names])
     return regions.select("region_id", "chr").join(counts, ["region_id", "chr"], "left").fillna(0, list(names))
+
+
+def nearest_genes(regions: DataFrame, transcripts: DataFrame, id: str = "region_id") -> DataFrame:
+    """(id, tx_id, gene_id, distance, description) of the nearest transcript of each region on its chromosome.
+
+    ``description``, along the transcript's strand: the region is "inside" it, "covers" it, "overlaps 5 prime" or "overlaps
+    3 prime", or lies "upstream" or "downstream".
+    """
+    found = nearest(regions, transcripts, id).alias("n")
+    t, r = transcripts.alias("t"), regions.alias("r")
+    both = found.join(t, F.col("n.tx_id") == F.col("t.tx_id")).join(r, F.col(f"n.{id}") == F.col(f"r.{id}"))
+    ahead = F.col("t.strand") != "-"
+    a, b, ra, rb = (F.col(c) for c in ("t.start", "t.end", "r.start", "r.end"))
+    apart = F.when((rb < a) == ahead, "upstream").otherwise("downstream")
+    partly = F.when((ra < a) == ahead, "overlaps 5 prime").otherwise("overlaps 3 prime")
+    description = F.when(F.col("distance") > 0, apart).when((a <= ra) & (rb <= b), "inside").when((ra <= a) & (b <= rb), "covers").otherwise(partly)
+    return both.select(F.col(f"n.{id}").alias(id), "t.tx_id", "t.gene_id", "distance", description.alias("description"))

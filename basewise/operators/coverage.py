@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Positions per tile.
-TILE = 1 << 13
+TILE = 1 << 11
 
 
 def width() -> Column:
@@ -34,7 +34,9 @@ def _events(intervals: DataFrame, value: Column, *keys: str) -> DataFrame:
 
 def pileup(reads: DataFrame, tile: int = TILE) -> DataFrame:
     """Depth as runs (chr, sample, start, end, score), score > 0, equal neighbours merged."""
-    changes = _events(tiled(reads, tile), F.lit(1).cast("long"), "sample").groupBy("chr", "tile", "sample", "pos").agg(F.sum("d").alias("d")).where("d <> 0")
+    # Reads are dealt by tile once; events, their sums and the running sum all stay where they are.
+    dealt = tiled(reads, tile).select("chr", "tile", "sample", "start", "end").repartition("chr", "tile", "sample")
+    changes = _events(dealt, F.lit(1).cast("long"), "sample").groupBy("chr", "tile", "sample", "pos").agg(F.sum("d").alias("d")).where("d <> 0")
     order = Window.partitionBy("chr", "tile", "sample").orderBy("pos")
     runs = changes.select("chr", "sample", F.col("pos").alias("start"), (F.lead("pos").over(order) - 1).alias("end"), F.sum("d").over(order).alias("score"))
     return merge_runs(runs.where("score > 0"), tile)
@@ -64,7 +66,8 @@ def dense(runs: DataFrame) -> DataFrame:
 def segments(reads: DataFrame, samples: Sequence[str], tile: int = TILE) -> DataFrame:
     """(chr, tile, start, end, y): stretches where the depth of every sample is constant and some depth isn't 0."""
     d = [F.sum(F.when(F.col("sample") == s, F.col("d")).otherwise(0)).alias(f"d{i}") for i, s in enumerate(samples)]
-    changes = _events(tiled(reads, tile), F.lit(1).cast("long"), "sample").groupBy("chr", "tile", "pos").agg(*d)
+    dealt = tiled(reads, tile).select("chr", "tile", "sample", "start", "end").repartition("chr", "tile")
+    changes = _events(dealt, F.lit(1).cast("long"), "sample").groupBy("chr", "tile", "pos").agg(*d)
     changes = changes.where(" OR ".join(f"d{i} <> 0" for i in range(len(samples))))
     order = Window.partitionBy("chr", "tile").orderBy("pos")
     y = F.array(*[F.sum(f"d{i}").over(order).cast("double") for i in range(len(samples))])
@@ -84,6 +87,39 @@ def run_segments(runs: DataFrame, samples: Sequence[str], tile: int = TILE) -> D
     return out.where(F.col("end").isNotNull() & F.exists("y", lambda x: x != 0))
 
 
+def full_coverage(
+    runs: DataFrame, samples: Sequence[str], chrs: Sequence[str] | None = None, cutoff: float | None = None, filter: str = "one", totals: Sequence[float] | None = None, target: float = 80e6,
+    which: DataFrame | None = None, protect: int = 0, tile: int = TILE,
+) -> DataFrame:
+    """Segments of all samples, from their runs: chromosomes, regions, alignment, sizes and cut-off in one call.
+
+    ``which``: intervals (chr, start, end) that alone are kept, each ``protect`` positions wider about its centre. With a
+    cut-off segments are filtered and hold ``mean_cov``.
+    """
+    from .filters import filter_data
+
+    own = runs.where(F.col("sample").isin(list(samples)))
+    if chrs is not None:
+        own = own.where(F.col("chr").isin(list(chrs)))
+    if which is not None:
+        own = restricted(own, which, protect)
+    segs = run_segments(own, samples, tile)
+    if cutoff is None and totals is None:
+        return segs
+    return filter_data(segs, len(samples), cutoff, filter, totals, target, mean=cutoff is not None)
+
+
+def restricted(runs: DataFrame, which: DataFrame, protect: int = 0) -> DataFrame:
+    """The parts of runs inside the intervals ``which``, which are widened about their centres and merged before."""
+    from .intervals import overlaps, reduce_intervals
+
+    shift = F.floor(F.lit(-protect) / 2).cast("long")
+    wide = which.select("chr", (F.col("start") + shift).alias("start"), (F.col("end") + shift + protect).alias("end"))
+    pairs = overlaps(runs, reduce_intervals(wide))
+    place = {"start": F.greatest("a.start", "b.start").alias("start"), "end": F.least("a.end", "b.end").alias("end")}
+    return pairs.select(*[place.get(c, F.col(f"a.{c}").alias(c)) for c in runs.columns])
+
+
 def segment_runs(segs: DataFrame, samples: Sequence[str]) -> DataFrame:
     """Segments back to runs per sample, score > 0."""
     names = F.array(*[F.lit(s) for s in samples])
@@ -92,8 +128,14 @@ def segment_runs(segs: DataFrame, samples: Sequence[str]) -> DataFrame:
 
 
 def total_mapped(reads: DataFrame, chrs: Sequence[str] | None = None) -> DataFrame:
-    """(sample, total_mapped): reads per sample."""
+    """(sample, total_mapped): reads per sample.
+
+    Rows are reads, or, with a column ``read`` (and ``file``, where a sample has several), the blocks of reads, which count
+    once for each read.
+    """
     rows = reads.where(F.col("chr").isin(list(chrs))) if chrs else reads
+    if "read" in reads.columns:
+        rows = rows.select("sample", *[c for c in ("file", "read") if c in reads.columns]).distinct()
     return rows.groupBy("sample").agg(F.count("*").alias("total_mapped"))
 
 

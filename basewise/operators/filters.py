@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .smoothing import smooth_segments
+
 
 def mean_of(y: Column, n: int) -> Column:
     return F.aggregate(y, F.lit(0.0), lambda a, v: a + v) / F.lit(float(n))
@@ -24,14 +26,20 @@ def subset(segs: DataFrame, columns: Sequence[int]) -> DataFrame:
     return segs.withColumn("y", F.array(*[F.element_at("y", int(i) + 1) for i in columns]))
 
 
-def filter_data(segs: DataFrame, n: int, cutoff: float | None = None, filter: str = "one", totals: Sequence[float] | None = None, target: float = 80e6, mean: bool = False) -> DataFrame:
+def filter_data(segs: DataFrame, n: int, cutoff: float | None = None, filter: str = "one", totals: Sequence[float] | None = None, target: float = 80e6, mean: bool = False, smooth_mean: Callable | None = None, max_cluster_gap: int = 300, **smooth_how) -> DataFrame:
     """Positions where any sample ("one") or the mean of samples ("mean") is above ``cutoff``, strictly.
 
     Sizes are normalised before; ``mean`` adds ``mean_cov``. Filters compose: a filtered table can be filtered again.
+    ``smooth_mean``: a function of ``smoothing`` that the mean goes through before the cut-off, as which it is then kept;
+    positions without any coverage take no part in it.
     """
     if filter not in ("one", "mean"):
         raise ValueError("filter must be 'one' or 'mean'")
     out = normalise(segs, totals, target) if totals is not None else segs
+    if smooth_mean is not None and filter == "mean":
+        out = smooth_segments(out.withColumn("mean_cov", mean_of(F.col("y"), n)), "mean_cov", smooth_mean, max_cluster_gap, **smooth_how)
+        out = out.where(F.col("mean_cov") > float(cutoff)) if cutoff is not None else out
+        return out if mean else out.drop("mean_cov")
     if cutoff is not None:
         c = float(cutoff)
         out = out.where(F.exists("y", lambda v: v > c) if filter == "one" else mean_of(F.col("y"), n) > c)

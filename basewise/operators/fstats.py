@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -75,8 +76,14 @@ def permuted_stats(segs: DataFrame, mod: np.ndarray, mod0: np.ndarray, permutati
 
 
 def fstat_cutoff(segs: DataFrame, kind: str, value: float, mod: np.ndarray | None = None, mod0: np.ndarray | None = None) -> float:
-    """The cut-off: "empirical" quantile over positions, "theoretical" upper quantile, or "manual"."""
+    """The cut-off: "empirical" quantile over positions, "theoretical" upper quantile, or "manual".
+
+    An empirical quantile of 1e-8, the usual theoretical probability, is taken for a slip: 0.99 is used, with a warning.
+    """
     if kind == "empirical":
+        if value == 1e-8:
+            warnings.warn("an empirical cut-off needs a quantile, not 1e-8; using 0.99", stacklevel=2)
+            value = 0.99
         row = segs.where("f IS NOT NULL").agg(F.percentile("f", F.lit(float(value)), F.col("end") - F.col("start") + 1).alias("q")).first()
         return row["q"]
     if kind == "theoretical":

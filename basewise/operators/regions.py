@@ -8,12 +8,13 @@ where an island that ends a tile joins one that begins the next. The second step
 from __future__ import annotations
 
 import warnings
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .coverage import width
+from . import smoothing
+from .coverage import TILE, width
 
 
 def cutoffs(cutoff: float | Sequence[float]) -> tuple[float, float]:
@@ -24,45 +25,40 @@ def cutoffs(cutoff: float | Sequence[float]) -> tuple[float, float]:
     return low, high
 
 
-def indexed(segs: DataFrame, keys: Sequence[str] = ("chr",)) -> DataFrame:
-    """Segments with ``index_start``: where they start when only present positions are counted.
-
-    Widths are summed per tile, the sums over the tiles before are joined back: one small row per tile.
-    """
-    keys = list(keys)
-    tiles = segs.groupBy(*keys, "tile").agg(F.sum(width()).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("tile").rowsBetween(Window.unboundedPreceding, -1)
-    tiles = tiles.select(*keys, "tile", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*keys, "tile").orderBy("start")
-    return segs.join(tiles, [*keys, "tile"]).withColumn("index_start", F.col("_before") + F.sum(width()).over(inside) - width() + 1).drop("_before")
-
-
-def islands(segs: DataFrame, signal: str, cutoff: float | Sequence[float], max_region_gap: int = 0, keys: Sequence[str] = ("chr",), sums: dict[str, Column] | None = None, index: bool = True) -> DataFrame:
+def islands(
+    segs: DataFrame, signal: str, cutoff: float | Sequence[float], max_region_gap: int = 0, keys: Sequence[str] = ("chr",), sums: dict[str, Column] | None = None,
+    directions: Sequence[str] = ("up", "dn"), pieces: str | None = None,
+) -> DataFrame:
     """Maximal runs of segments at or above the upper ("up"), or at or below the lower ("dn") cut-off.
 
     Segments are those of the positions kept by a filter. A run ends where a kept position fails the cut-off, or where
-    more than ``max_region_gap`` positions are missing. Gives keys, direction, start, end, width (of kept positions),
-    signal_sum, index_start, index_end, and a sum for each of ``sums``, whose columns are per position.
+    more than ``max_region_gap`` positions are missing, or where the column ``pieces`` is true. Gives keys, direction, start,
+    end, width (of kept positions), signal_sum, index_start, index_end (places when only kept positions are counted), and a
+    sum for each of ``sums``, whose columns are per position.
     """
     keys, sums = list(keys), sums or {}
     low, high = cutoffs(cutoff)
-    rows = indexed(segs, keys) if index else segs.withColumn("index_start", F.lit(0).cast("long"))
-    numbered = F.explode(F.array(F.struct(F.lit("up").alias("direction"), F.coalesce(F.col(signal) >= high, F.lit(False)).alias("hit")), F.struct(F.lit("dn").alias("direction"), F.coalesce(F.col(signal) <= low, F.lit(False)).alias("hit"))))
+    hits = {"up": F.col(signal) >= high, "dn": F.col(signal) <= low}
+    numbered = F.explode(F.array(*[F.struct(F.lit(d).alias("direction"), F.coalesce(hits[d], F.lit(False)).alias("hit")) for d in directions]))
     carried = {name: (c * width()) for name, c in sums.items()}
-    rows = rows.select(*keys, "tile", "start", "end", "index_start", (F.col(signal) * width()).alias("_s"), *[c.alias(n) for n, c in carried.items()], numbered.alias("_d")).select("*", "_d.direction", "_d.hit").drop("_d")
+    piece = F.col(pieces) if pieces else F.lit(False)
+    rows = segs.select(*keys, "tile", "start", "end", piece.alias("_piece"), (F.col(signal) * width()).alias("_s"), *[c.alias(n) for n, c in carried.items()], numbered.alias("_d")).select("*", "_d.direction", "_d.hit").drop("_d")
     inside = Window.partitionBy(*keys, "direction", "tile").orderBy("start")
-    gap = F.col("start") - F.lag("end").over(inside) - 1
-    rows = rows.withColumn("_new", (~F.coalesce(F.lag("hit").over(inside), F.lit(False)) | (gap > max_region_gap)).cast("long"))
-    rows = rows.withColumn("_first", F.lag("start").over(inside).isNull()).withColumn("_last", F.lead("start").over(inside).isNull())
-    rows = rows.where("hit").withColumn("_island", F.sum("_new").over(inside))
-    parts = rows.groupBy(*keys, "direction", "tile", "_island").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.sum(width()).alias("width"), F.sum("_s").alias("signal_sum"), F.min("index_start").alias("index_start"),
-        F.max("_first").alias("_first"), F.max("_last").alias("_last"), *[F.sum(n).alias(n) for n in sums],
+    apart = (F.col("start") - F.lag("end").over(inside) - 1 > max_region_gap) | F.col("_piece")
+    rows = rows.withColumn("_new", (~F.coalesce(F.lag("hit").over(inside), F.lit(False)) | apart).cast("long"))
+    rows = rows.withColumn("_first", F.lag("start").over(inside).isNull()).withColumn("_last", F.lead("start").over(inside).isNull()).withColumn("_at", F.sum(width()).over(inside))
+    # The last segment of a tile stays, too: it tells how many positions the tile has.
+    rows = rows.withColumn("_island", F.sum(F.when(F.col("hit"), F.col("_new")).otherwise(0)).over(inside)).where("hit OR _last")
+    parts = rows.groupBy(*keys, "direction", "tile", "hit", "_island").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.sum(width()).alias("width"), F.sum("_s").alias("signal_sum"), F.min(F.col("_at") - width() + 1).alias("_index"),
+        F.max("_first").alias("_first"), F.max("_last").alias("_last"), F.max(F.when(F.col("_last"), F.col("_at"))).alias("_kept"), F.min_by("_piece", "start").alias("_piece"), *[F.sum(n).alias(n) for n in sums],
     )
+    before = Window.partitionBy(*keys, "direction").orderBy("tile").rangeBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("index_start", F.col("_index") + F.coalesce(F.sum("_kept").over(before), F.lit(0))).where("hit")
     # A tile without any kept position lies between two tiles only if it is a gap, which the positions tell.
     order = Window.partitionBy(*keys, "direction").orderBy("start")
-    joins = F.col("_first") & F.lag("_last").over(order) & (F.col("start") - F.lag("end").over(order) - 1 <= max_region_gap)
-    stitched = parts.withColumn("_new", (~F.coalesce(joins, F.lit(False))).cast("long")).withColumn("_run", F.sum("_new").over(order))
+    joins = F.col("_first") & F.lag("_last").over(order) & (F.col("start") - F.lag("end").over(order) - 1 <= max_region_gap) & ~F.col("_piece")
+    stitched = parts.withColumn("_join", (~F.coalesce(joins, F.lit(False))).cast("long")).withColumn("_run", F.sum("_join").over(order))
     return (
         stitched.groupBy(*keys, "direction", "_run")
         .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("width").alias("width"), F.sum("signal_sum").alias("signal_sum"), F.min("index_start").alias("index_start"), *[F.sum(n).alias(n) for n in sums])
@@ -71,11 +67,41 @@ def islands(segs: DataFrame, signal: str, cutoff: float | Sequence[float], max_r
     )
 
 
-def find_regions(segs: DataFrame, signal: str, cutoff: float | Sequence[float], max_region_gap: int = 0, max_cluster_gap: int = 300, keys: Sequence[str] = ("chr",), basic: bool = False, sums: dict[str, Column] | None = None) -> DataFrame:
-    """Regions with value (mean signal), area, index coordinates, cluster and cluster length; ``basic``: stat, width, area."""
+def split_at(segs: DataFrame, intervals: DataFrame, name: str = "piece") -> DataFrame:
+    """Segments cut at the edges of ``intervals`` (chr, start, end), with whether an edge precedes each as ``name``.
+
+    For ``islands(..., pieces=name)``: regions then end where an interval begins or ends. An edge among missing positions
+    counts for the segment after them, if that is in the edge's tile.
+    """
+    tile = F.floor((F.col("pos") - 1) / F.lit(TILE)).cast("long")
+    edges = intervals.select("chr", F.explode(F.array(F.col("start"), F.col("end") + 1)).alias("pos")).distinct().withColumn("tile", tile)
+    by_tile = edges.groupBy("chr", "tile").agg(F.array_sort(F.collect_set("pos")).alias("_edges"))
+    out = segs.join(by_tile, ["chr", "tile"], "left").withColumn("_edges", F.coalesce("_edges", F.array().cast("array<long>")))
+    before = F.coalesce(F.lag("end").over(Window.partitionBy("chr", "tile").orderBy("start")), F.lit(0))
+    out = out.withColumn("_near", F.filter("_edges", lambda x: (x > before) & (x <= F.col("end"))))
+    starts = F.array_distinct(F.concat(F.array("start"), F.filter("_near", lambda x: x > F.col("start"))))
+    cut = out.withColumn("_starts", starts).withColumn(name, F.exists("_near", lambda x: x <= F.col("start")))
+    cut = cut.select(*[c for c in segs.columns if c not in ("start", "end")], name, "_starts", F.col("end").alias("_end"), F.posexplode("_starts").alias("_k", "start"))
+    return cut.withColumn("end", F.coalesce(F.get("_starts", F.col("_k") + 1) - 1, F.col("_end"))).withColumn(name, F.col(name) | (F.col("_k") > 0)).select(*segs.columns, name)
+
+
+def find_regions(
+    segs: DataFrame, signal: str, cutoff: float | Sequence[float], max_region_gap: int = 0, max_cluster_gap: int = 300, keys: Sequence[str] = ("chr",), basic: bool = False, sums: dict[str, Column] | None = None,
+    directions: Sequence[str] = ("up", "dn"), smooth: Callable | None = None, weights: str | None = None, within: DataFrame | None = None, **smooth_how,
+) -> DataFrame:
+    """Regions with value (mean signal), area, index coordinates, cluster and cluster length; ``basic``: stat, width, area.
+
+    ``smooth``: a function of ``smoothing`` that replaces the signal within clusters of kept positions at most
+    ``max_cluster_gap`` apart, before the cut-off. ``within``: intervals at whose edges regions are cut.
+    """
     if max_cluster_gap < max_region_gap:
         warnings.warn("max_cluster_gap is less than max_region_gap", stacklevel=2)
-    found = islands(segs, signal, cutoff, max_region_gap, keys, sums, index=not basic)
+    if smooth is not None:
+        segs = smoothing.smooth_segments(segs, signal, smooth, max_cluster_gap, keys, weights, **smooth_how)
+    pieces = None
+    if within is not None:
+        segs, pieces = split_at(segs, within, "_cut"), "_cut"
+    found = islands(segs, signal, cutoff, max_region_gap, keys, sums, directions, pieces)
     value, area = F.col("signal_sum") / F.col("width"), F.abs("signal_sum")
     if basic:
         return found.select(*keys, "direction", value.alias("stat"), "width", area.alias("area"))

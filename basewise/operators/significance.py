@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .fstats import permuted_stats
+from ..functions.stats import f_upper
+from .filters import log_transform
+from .fstats import calculate_stats, permuted_stats
 from .regions import find_regions
 
 #: Ranges over which null areas are spread for counting.
@@ -21,10 +24,13 @@ def permutations(n: int, times: int, seed: int = 20240101) -> list[list[int]]:
     return [rng.permutation(n).tolist() for _ in range(times)]
 
 
-def null_regions(segs: DataFrame, mod: np.ndarray, mod0: np.ndarray, perms: Sequence[Sequence[int]], cutoff, max_region_gap: int = 0, adjust: float = 0.0) -> DataFrame:
-    """(perm, stat, width, area) of the regions of every permutation, found in one pass."""
+def null_regions(segs: DataFrame, mod: np.ndarray, mod0: np.ndarray, perms: Sequence[Sequence[int]], cutoff, max_region_gap: int = 0, adjust: float = 0.0, **how) -> DataFrame:
+    """(perm, stat, width, area) of the regions of every permutation, found in one pass; ``how`` as for ``find_regions``.
+
+    F is never negative, so only the upper cut-off counts.
+    """
     stats = permuted_stats(segs, mod, mod0, perms, adjust)
-    return find_regions(stats, "f", cutoff, max_region_gap, keys=("perm", "chr"), basic=True).select("perm", "stat", "width", "area")
+    return find_regions(stats, "f", cutoff, max_region_gap, keys=("perm", "chr"), basic=True, directions=("up",), **how).select("perm", "stat", "width", "area")
 
 
 def count_greater(values: DataFrame, value: str, others: DataFrame, other: str, name: str) -> DataFrame:
@@ -57,8 +63,7 @@ def p_values(regions: DataFrame, nulls: DataFrame, area: str = "area", doubled:
 
     ``doubled`` counts every null region twice, as the published analyses do.
     """
-    nulls = nulls.persist()  # counted, cut into ranges and summed
-    n = nulls.count()
+    n = nulls.where(F.col("area").isNotNull()).count()
     if not n:
         return regions.withColumn("pvalue", F.lit(None).cast("double"))
     k = 2 if doubled else 1
@@ -86,15 +91,55 @@ def adjusted(rows: DataFrame, p: str, name: str, pi0: float = 1.0) -> DataFrame:
     return rows.join(table, rows[p] == table["_p"], "left").drop("_p")
 
 
-def q_values(rows: DataFrame, p: str = "pvalue", lam: float = 0.5) -> DataFrame:
-    """False discovery rates with the share of true nulls estimated from the p-values over ``lam``.
+def last_smoothed(x: np.ndarray, df: float = 3.0) -> np.ndarray:
+    """Weights of the values at ``x`` in the last value of their cubic smoothing spline with ``df`` degrees of freedom."""
+    n, h = len(x), np.diff(x)
+    q, r = np.zeros((n, n - 2)), np.zeros((n - 2, n - 2))
+    for j in range(n - 2):
+        q[j : j + 3, j] = 1 / h[j], -1 / h[j] - 1 / h[j + 1], 1 / h[j + 1]
+        r[j, j] = (h[j] + h[j + 1]) / 3
+        if j:
+            r[j, j - 1] = r[j - 1, j] = h[j] / 6
+    rough = q @ np.linalg.solve(r, q.T)
+    lo, hi = -30.0, 30.0
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        trace = np.trace(np.linalg.inv(np.eye(n) + np.exp(mid) * rough))
+        lo, hi = (mid, hi) if trace > df else (lo, mid)
+    return np.linalg.inv(np.eye(n) + np.exp(lo) * rough)[-1]
+
+
+#: The cut-offs from which the share of true nulls is read.
+LAMBDAS = [round(0.05 * k, 2) for k in range(1, 20)]
+
+
+def q_values(rows: DataFrame, p: str = "pvalue", lambdas: Sequence[float] = LAMBDAS) -> DataFrame:
+    """False discovery rates with the published estimate of the share of true nulls.
 
-    All null where that share can't be estimated, as for a spline of it that fails.
+    For each of ``lambdas`` the share is that of p-values at least as large, over 1 - lambda; a cubic smoothing spline with 3
+    degrees of freedom through them is read at the last one, and 1 is the most. All null where that is not positive.
     """
-    n, high = rows.agg(F.count(p), F.sum((F.col(p) >= lam).cast("long"))).first()
-    if not n or not high:
+    r = rows.agg(F.count(p).alias("n"), *[F.sum((F.col(p) >= v).cast("long")).alias(f"h{i}") for i, v in enumerate(lambdas)]).first()
+    if not r["n"]:
         return rows.withColumn("qvalue", F.lit(None).cast("double"))
-    return adjusted(rows, p, "qvalue", min(1.0, high / (n * (1 - lam))))
+    shares = np.array([r[f"h{i}"] / (r["n"] * (1 - v)) for i, v in enumerate(lambdas)])
+    pi0 = min(1.0, float((last_smoothed(np.array(lambdas)) if len(lambdas) > 3 else np.eye(len(lambdas))[-1]) @ shares))
+    if pi0 <= 0:
+        return rows.withColumn("qvalue", F.lit(None).cast("double"))
+    return adjusted(rows, p, "qvalue", pi0)
+
+
+def region_f_test(counts: DataFrame, mod: np.ndarray, mod0: np.ndarray, scalefac: float = 32.0, adjust: float = 0.0) -> DataFrame:
+    """``counts`` (with ``counts`` per region) with F of the log counts, its p-value and the Benjamini-Hochberg adjustment."""
+    logged = log_transform(counts.withColumnRenamed("counts", "y"), scalefac)
+    tested = calculate_stats(logged, mod, mod0, adjust).withColumnRenamed("y", "log_counts")
+    d1, d2 = mod.shape[1] - mod0.shape[1], len(mod) - mod.shape[1]
+
+    @F.pandas_udf("double")
+    def upper(f: pd.Series) -> pd.Series:
+        return f.map(lambda v: None if np.isnan(v) else 0.0 if np.isinf(v) else f_upper(v, d1, d2))
+
+    return adjusted(tested.withColumn("pvalue", upper("f")), "pvalue", "padj")
 
 
 def flags(rows: DataFrame, cuts: Sequence[float] = (0.05, 0.1)) -> DataFrame:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,17 +66,27 @@ def _nulls(spark, sf):
 
 
 def _regions(spark, sf, **how):
-    return regions.find_regions(_mean(spark, sf), "mean_cov", CUT, **how).where("direction = 'up'")
+    return regions.find_regions(_mean(spark, sf), "mean_cov", CUT, directions=("up",), **how)
 
 
 def _f_regions(spark, sf):
-    return regions.find_regions(_stats(spark, sf), "f", F_CUT).where("direction = 'up'")
+    return regions.find_regions(_stats(spark, sf), "f", F_CUT, directions=("up",))
 
 
 def _numbered(spark, sf):
     return matrix.numbered(_regions(spark, sf).select("chr", "start", "end", "area"))
 
 
+def _exon_regions(spark, sf):
+    return fx.exons(spark, sf).select((F.col("tx_id") * 10 + F.col("rank")).alias("region_id"), "chr", "start", "end", "strand")
+
+
+def _stranded(asked, features):
+    """Chromosomes by strand, so that regions meet features of the other strand."""
+    other = F.when(F.col("strand") == "-", "+").otherwise("-")
+    return asked.withColumn("chr", F.concat("chr", other)), features.withColumn("chr", F.concat("chr", "strand"))
+
+
 def _states(spark, sf, kind):
     return annotation.genomic_state(fx.transcripts(spark, sf), fx.exons(spark, sf), fx.chrom_sizes(spark, sf), kind, fx.cds(spark, sf), 20, 5)
 
@@ -136,11 +147,20 @@ def queries() -> dict[str, Query]:
         "genomic_state_genes": lambda s, d: annotation.with_transcripts(_states(s, d, "full"), fx.transcripts(s, d)).select("chr", "start", "end", "strand", "state", F.concat_ws(",", "gene").alias("genes"), F.size("tx_id").cast("long").alias("n_tx")),
         "annotate_counts": lambda s, d: annotation.annotate_counts(_numbered(s, d), _states(s, d, "full"), ["exon", "intron", "intergenic"]),
         "annotate_hits": lambda s, d: annotation.annotate_hits(_numbered(s, d), _states(s, d, "coding"), 3),
-        "nearest_gene": lambda s, d: intervals.nearest(fx.exons(s, d).where("strand = '-'").select((F.col("tx_id") * 10 + F.col("rank")).alias("region_id"), "chr", "start", "end"), fx.transcripts(s, d).where("strand = '+'")),
-        "running_median": lambda s, d: r6(smoothing.running_median(smoothing.clusters(smoothing.positions_of(_mean(s, d), "mean_cov"), 30), "mean_cov", 5).select("chr", "pos", "smoothed")),
+        "nearest_gene": lambda s, d: annotation.nearest_genes(_exon_regions(s, d), fx.transcripts(s, d)),
+        "nearest_opposite": lambda s, d: intervals.nearest(*_stranded(_exon_regions(s, d), fx.transcripts(s, d))),
+        "filter_smooth_mean": lambda s, d: _positions(filters.filter_data(_segs(s, d), N, CUT, "mean", mean=True, smooth_mean=smoothing.running_mean, max_cluster_gap=30, k=5), "mean_cov"),
+        "regions_smoothed": lambda s, d: r6(_regions(s, d, smooth=smoothing.running_mean, max_cluster_gap=30, k=5).select("chr", "start", "end", "value", "area", "index_start", "index_end")),
+        "null_regions_smoothed": lambda s, d: r6(significance.null_regions(_logged(s, d), MOD, MOD0, fx.PERMUTATIONS, F_CUT, smooth=smoothing.finite_running_mean, max_cluster_gap=30, k=3)),
+        "regions_split": lambda s, d: r6(_regions(s, d, within=fx.transcripts(s, d).where("tx_id % 5 = 0")).select("chr", "start", "end", "value", "area", "index_start", "index_end")),
+        "region_f_test": lambda s, d: r6(significance.region_f_test(matrix.region_matrix(_segs(s, d), fx.SAMPLES, CUT, LENGTHS), MOD, MOD0).select("chr", "start", "end", "f", F.col("pvalue").between(0, 1).alias("is_p"))),
+        "region_coverage_matrix": lambda s, d: r6(_flat_y(matrix.region_coverage_matrix(fx.exons(s, d).select("tx_id", "rank", "chr", "start", "end"), _segs(s, d), N, TOTALS, 10000.0, ("tx_id", "rank"))).select("tx_id", "rank", "pos", *y)),
+        "full_coverage": lambda s, d: _positions(_flat_y(coverage.full_coverage(_runs(s, d), fx.SAMPLES, ["chr1", "chr3"], cutoff=20.0, filter="mean", totals=TOTALS, target=10000.0)), "mean_cov", *y),
+        "coverage_which": lambda s, d: coverage.full_coverage(_runs(s, d), fx.SAMPLES, which=fx.transcripts(s, d).where("tx_id % 40 = 0"), protect=10).select("chr", F.explode(F.sequence("start", "end")).alias("pos")),
+        "running_median": lambda s, d: r6(smoothing.running_median(smoothing.clusters(_mean(s, d), "mean_cov", 30), "mean_cov", 5).select("chr", "pos", "smoothed")),
         "seqname_map": lambda s, d: fx.reads(s, d).groupBy("chr").agg(F.count("*").alias("n")).withColumn("ncbi", names.map_names(F.col("chr"), "NCBI", "UCSC")),
         "top_regions": lambda s, d: r6(matrix.top_regions(_regions(s, d).select("chr", "start", "end", F.round("area", 6).alias("area")))),
-        "local_smoothing": lambda s, d: smoothing.smooth(smoothing.clusters(smoothing.positions_of(_mean(s, d), "mean_cov"), 30), "mean_cov").select("chr", "pos", "mean_cov", "smoothed"),
+        "local_smoothing": lambda s, d: smoothing.smooth(smoothing.clusters(_mean(s, d), "mean_cov", 30), "mean_cov").select("chr", "pos", "mean_cov", "smoothed"),
         "full_analysis": lambda s, d: analysis.analyze(_segs(s, d), fx.GROUPS, MOD, MOD0, fx.PERMUTATIONS, _states(s, d, "full")).select("chr", "start", "end", "value", "area", "pvalue", "qvalue", "fwer", "exon", "intron", "intergenic"),
     }
     bounds = lambda q: lambda s, d: _f_bounds(q(s, d))
@@ -255,7 +275,7 @@ def oracle_sql() -> dict[str, str]:
         "pvalues": _with(_PV, f"SELECT chr, start_pos, end_pos, {_r('p', 'pvalue')} FROM pv"),
         "fwer": _with(_F_REGIONS + f",\nmx AS (SELECT p.perm, COALESCE(max(area), {F_CUT}) AS m FROM (SELECT unnest(range(1, 4)) AS perm) p LEFT JOIN nr ON nr.perm = p.perm GROUP BY p.perm)", f"SELECT chr, start_pos, end_pos, {_r('((SELECT count(*) FROM mx WHERE m > obs.area) + 1) / 4.0::DOUBLE', 'fwer')} FROM obs"),
         "bh_adjust": _with(_PV + ",\nrk AS (SELECT *, rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1 AS k, count(*) OVER () AS n FROM pv)", f"SELECT chr, start_pos, end_pos, {_r('least(1, min(p * n / k) OVER (ORDER BY p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))', 'padj')} FROM rk"),
-        "qvalues": _with(_PV + ",\nrk AS (SELECT *, rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1 AS k, count(*) OVER () AS n, least(1, (SELECT count(*) FROM pv WHERE p >= 0.5) / ((SELECT count(*) FROM pv) * 0.5)) AS pi0 FROM pv)", f"SELECT chr, start_pos, end_pos, {_r('CASE WHEN pi0 > 0 THEN least(1, min(pi0 * p * n / k) OVER (ORDER BY p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) END', 'qvalue')} FROM rk"),
+        "qvalues": _with(_PV + ",\nt AS (SELECT count(*) AS n FROM pv), s0 AS (SELECT least(1, " + " + ".join(f"({w!r}) * count(*) FILTER (p >= {v}) / ({1 - v!r} * count(*))" for v, w in zip(significance.LAMBDAS, significance.last_smoothed(np.array(significance.LAMBDAS)).tolist(), strict=True)) + ") AS pi0 FROM pv), rk AS (SELECT *, rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1 AS k, count(*) OVER () AS n FROM pv CROSS JOIN s0)", f"SELECT chr, start_pos, end_pos, {_r('CASE WHEN pi0 > 0 THEN least(1, min(pi0 * p * n / k) OVER (ORDER BY p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) END', 'qvalue')} FROM rk"),
         "region_matrix": _with(_M + f",\nr AS (SELECT {_REGION}, " + ", ".join(f"sum(y{i}) AS y{i}" for i in range(N)) + " FROM i GROUP BY chr, g)", " UNION ALL ".join(f"SELECT chr, start_pos, end_pos, 's{i}' AS sample, {_r(f'y{i} / {LENGTHS[i]}', 'value')} FROM r" for i in range(N))),
         "rail_matrix": _with(_M + f",\n{_GRID}, r AS (SELECT {_REGION} FROM i GROUP BY chr, g)", f"SELECT r.chr, r.start_pos, r.end_pos, gr.sample, {_r('COALESCE(sum(c.score), 0)::DOUBLE / (' + _LEN.replace('sample', 'gr.sample') + ')', 'value')} FROM r CROSS JOIN gr LEFT JOIN cell c ON c.chr = r.chr AND c.sample = gr.sample AND c.pos BETWEEN r.start_pos AND r.end_pos GROUP BY r.chr, r.start_pos, r.end_pos, gr.sample"),
         "region_coverage": _with(_M + f",\nr AS (SELECT {_REGION} FROM i GROUP BY chr, g)", "SELECT r.chr, r.start_pos, r.end_pos, c.pos, c.sample, c.score::DOUBLE AS score FROM r JOIN cell c ON c.chr = r.chr AND c.pos BETWEEN r.start_pos AND r.end_pos"),
@@ -272,7 +292,16 @@ def oracle_sql() -> dict[str, str]:
         "genomic_state_genes": _with(_states_sql("full"), "SELECT st.chr, st.a AS start_pos, st.b AS end_pos, st.strand, st.state, COALESCE(string_agg(DISTINCT tx.gene_id, ',' ORDER BY tx.gene_id), '') AS genes, count(DISTINCT tx.tx_id)::BIGINT AS n_tx FROM st LEFT JOIN tx ON tx.chr = st.chr AND tx.strand = st.strand AND tx.a <= st.b AND st.a <= tx.b GROUP BY st.chr, st.a, st.b, st.strand, st.state"),
         "annotate_counts": _with(_states_sql("full") + ",\n" + _BASE_ONLY + _NUMBERED, "SELECT rg.region_id, rg.chr, " + ", ".join(f"count(CASE WHEN st.state = '{s}' THEN 1 END)::BIGINT AS {s}" for s in ("exon", "intron", "intergenic")) + " FROM rg LEFT JOIN st ON st.chr = rg.chr AND st.a <= rg.end_pos AND rg.start_pos <= st.b GROUP BY rg.region_id, rg.chr"),
         "annotate_hits": _with(_states_sql("coding") + ",\n" + _BASE_ONLY + _NUMBERED, "SELECT rg.region_id, rg.chr, rg.start_pos, rg.end_pos, st.state, st.a AS state_start, st.b AS state_end, st.strand FROM rg JOIN st ON st.chr = rg.chr AND least(st.b, rg.end_pos) - greatest(st.a, rg.start_pos) + 1 >= 3"),
-        "nearest_gene": _with(_TX + ", f AS (SELECT * FROM tx WHERE strand = '+'), p AS (SELECT e.tx_id * 10 + e.rank AS region_id, f.tx_id, greatest(0, f.a - e.b, e.a - f.b) AS distance FROM ex e JOIN f ON f.chr = e.chr WHERE e.strand = '-'), k AS (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY distance, tx_id) AS n FROM p)", "SELECT region_id, tx_id, distance::BIGINT AS distance FROM k WHERE n = 1"),
+        "nearest_gene": _with(_TX + ", p AS (SELECT e.tx_id * 10 + e.rank AS region_id, e.strand, e.a AS ea, e.b AS eb, f.tx_id, f.gene_id, f.a, f.b, f.strand AS fs, greatest(0, f.a - e.b, e.a - f.b) AS distance FROM ex e JOIN tx f ON f.chr = e.chr), k AS (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY distance, tx_id) AS n FROM p)", "SELECT region_id, tx_id, gene_id, distance::BIGINT AS distance, CASE WHEN distance > 0 THEN CASE WHEN (eb < a) = (fs <> '-') THEN 'upstream' ELSE 'downstream' END WHEN a <= ea AND eb <= b THEN 'inside' WHEN ea <= a AND b <= eb THEN 'covers' WHEN (ea < a) = (fs <> '-') THEN 'overlaps 5 prime' ELSE 'overlaps 3 prime' END AS description FROM k WHERE n = 1"),
+        "nearest_opposite": _with(_TX + ", p AS (SELECT e.tx_id * 10 + e.rank AS region_id, f.tx_id, greatest(0, f.a - e.b, e.a - f.b) AS distance FROM ex e JOIN tx f ON f.chr = e.chr AND f.strand <> e.strand), k AS (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY distance, tx_id) AS n FROM p)", "SELECT region_id, tx_id, distance::BIGINT AS distance FROM k WHERE n = 1"),
+        "filter_smooth_mean": _with(_BASE + f",\nab AS (SELECT chr, pos, {_MEAN_Y} AS x FROM base),\n" + _islands("ab", "true", 30) + ", sm AS (SELECT chr, pos, avg(x) OVER (PARTITION BY chr, g ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS v FROM i)", f"SELECT chr, pos, {_r('v', 'mean_cov')} FROM sm WHERE v > {CUT}"),
+        "regions_smoothed": _with(_MEAN + ",\n" + _islands("mc", "true", 30, prefix="c") + ", sm AS (SELECT chr, pos, avg(x) OVER (PARTITION BY chr, g ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS x FROM ci),\n" + _islands("sm", f"x >= {CUT}"), f"SELECT {_REGION}, {_r('avg(x)', 'value')}, {_r('abs(sum(x))', 'area')}, min(idx)::BIGINT AS index_start, max(idx)::BIGINT AS index_end FROM i GROUP BY chr, g"),
+        "null_regions_smoothed": _with(_FSTAT + _NULLS + _islands("np", "true", 30, keys="perm, chr", prefix="c") + ", sm AS (SELECT perm, chr, pos, CASE WHEN x IS NULL OR isinf(x) THEN x ELSE avg(CASE WHEN NOT isinf(x) THEN x END) OVER (PARTITION BY perm, chr, g ORDER BY pos ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) END AS x FROM ci),\n" + _islands("sm", f"x >= {F_CUT}", keys="perm, chr"), f"SELECT perm::INTEGER AS perm, {_r('avg(x)', 'stat')}, count(*)::BIGINT AS width, {_r('abs(sum(x))', 'area')} FROM i GROUP BY perm, chr, g"),
+        "regions_split": _with(_MEAN + ",\n" + _TX + ", eg AS (SELECT DISTINCT chr, unnest([a, b + 1]) AS pos FROM tx WHERE tx_id % 5 = 0), mk AS (SELECT mc.*, (eg.pos IS NOT NULL) AS cut FROM mc LEFT JOIN eg ON eg.chr = mc.chr AND eg.pos = mc.pos), ix AS (SELECT *, row_number() OVER (PARTITION BY chr ORDER BY pos) AS idx, CASE WHEN cut OR lag(pos) OVER (PARTITION BY chr ORDER BY pos) + 1 IS DISTINCT FROM pos THEN 1 ELSE 0 END AS new FROM mk), i AS (SELECT *, sum(new) OVER (PARTITION BY chr ORDER BY pos) AS g FROM ix)", f"SELECT {_REGION}, {_r('avg(x)', 'value')}, {_r('abs(sum(x))', 'area')}, min(idx)::BIGINT AS index_start, max(idx)::BIGINT AS index_end FROM i GROUP BY chr, g"),
+        "region_f_test": _with(_M + f",\nr AS (SELECT {_REGION}, " + ", ".join(f"log2(sum(y{i}) / {LENGTHS[i]} + 32) AS y{i}" for i in range(N)) + " FROM i GROUP BY chr, g)", f"SELECT chr, start_pos, end_pos, {_r(_f_sql(MOD, MOD0), 'f')}, CASE WHEN {_f_sql(MOD, MOD0)} IS NOT NULL THEN true END AS is_p FROM r"),
+        "region_coverage_matrix": _with(_BASE + ",\n" + _TX + ", ps AS (SELECT tx_id, rank, chr, unnest(range(a, b + 1)) AS pos FROM ex)", "SELECT tx_id, rank::INTEGER AS rank, ps.pos::BIGINT AS pos, " + ", ".join(_r(f"COALESCE(y{i}, 0) / {t / 10000.0}", f"y{i}") for i, t in enumerate(TOTALS)) + " FROM ps LEFT JOIN base ON base.chr = ps.chr AND base.pos = ps.pos"),
+        "full_coverage": _with(_BASE + ", nz AS (SELECT chr, pos, " + ", ".join(f"y{i} / {t / 10000.0} AS y{i}" for i, t in enumerate(TOTALS)) + " FROM base WHERE chr IN ('chr1', 'chr3'))", f"SELECT chr, pos, {_r(_MEAN_Y, 'mean_cov')}, {ys} FROM nz WHERE {_MEAN_Y} > 20"),
+        "coverage_which": _with(_BASE + ",\n" + _TX + ", wh AS (SELECT chr, a + floor((n - (n + 10)) / 2.0)::BIGINT AS a, a + floor((n - (n + 10)) / 2.0)::BIGINT + n + 9 AS b FROM tx WHERE tx_id % 40 = 0)", "SELECT chr, pos FROM base WHERE EXISTS (SELECT 1 FROM wh WHERE wh.chr = base.chr AND base.pos BETWEEN wh.a AND wh.b)"),
         "running_median": _with(_MEAN + ",\n" + _islands("mc", "true", 30), f"SELECT chr, pos, {_r('median(x) OVER (PARTITION BY chr, g ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)', 'smoothed')} FROM i"),
         "seqname_map": _with(_READS, "SELECT chr, count(*)::BIGINT AS n, substr(chr, 4) AS ncbi FROM reads GROUP BY chr"),
         "top_regions": _with(_M, f"SELECT {_REGION}, {_r('abs(sum(x))', 'area')} FROM i GROUP BY chr, g ORDER BY round(abs(sum(x)), 6) DESC, chr, start_pos LIMIT 100"),

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 RUNS = "chr string, sample string, start long, end long, score double"
 
 
+#: Lines of bedGraph text that hold no data.
+HEADER = r"^(track|browser)\s|^#|^\s*$"
+
+
 def _listing(spark: SparkSession, folder: str) -> list[str]:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     return sorted(x.getPath().getName() for x in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path))
@@ -46,8 +50,9 @@ def read_bedgraph(spark: SparkSession, files: dict[str, str]) -> DataFrame:
     """Runs from bedGraph text (0-based, half open), one file or folder per sample; zero scores are left out."""
     out = None
     for sample, path in files.items():
-        rows = spark.read.csv(path, sep="\t", comment="t", schema="chr string, start long, end long, score double")
-        rows = rows.where("score <> 0").select("chr", F.lit(sample).alias("sample"), (F.col("start") + 1).alias("start"), "end", "score")
+        lines = spark.read.text(path).where(~F.col("value").rlike(HEADER))
+        part = F.split("value", r"\s+")
+        rows = lines.select(part[0].alias("chr"), F.lit(sample).alias("sample"), (part[1].cast("long") + 1).alias("start"), part[2].cast("long").alias("end"), part[3].cast("double").alias("score")).where("score <> 0")
         out = rows if out is None else out.unionByName(rows)
     return out
 
