@@ -147,7 +147,7 @@ def test_matrix_checks(spark):
 
 def test_names():
     assert names.map_name("2") == "chr2" and names.map_name("2", "ucsc") == "chr2" and names.map_name("MT") == "chrM"
-    assert names.map_name("2", None) == "2" and names.map_name("2", "UCSC", "mus_musculus") == "2" and names.map_name("2", "else") == "2"
+    assert names.map_name("2", None) == "2" and names.map_name("2", "UCSC", "felis_catus") == "2" and names.map_name("19", "UCSC", "mus_musculus") == "chr19" and names.map_name("2L", "UCSC", "drosophila_melanogaster") == "chr2L" and names.map_name("2", "else") == "2"
     assert names.map_name("chr77", "NCBI", current="UCSC") is None
 
 
@@ -172,3 +172,63 @@ def test_files(spark, tmp_path):
     files.write_bedgraph(runs, str(tmp_path / "bg"))
     back = files.read_bedgraph(spark, {"s1": str(tmp_path / "bg" / "sample=s1"), "s2": str(tmp_path / "bg" / "sample=s2")})
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, runs.collect()))
+
+
+def test_total_mapped_counts_reads_once(spark):
+    blocks = spark.createDataFrame([("c", "s", 1, 5, 1), ("c", "s", 20, 25, 1), ("c", "s", 3, 9, 2), ("d", "t", 1, 2, 1)], "chr string, sample string, start long, end long, read long")
+    assert {r["sample"]: r["total_mapped"] for r in coverage.total_mapped(blocks).collect()} == {"s": 2, "t": 1}
+    assert {r["sample"]: r["total_mapped"] for r in coverage.total_mapped(blocks.drop("read"), ["c"]).collect()} == {"s": 3}
+
+
+def test_bedgraph_headers_and_names_with_t(spark, tmp_path):
+    (tmp_path / "a.bedGraph").write_text("browser position c:1-9\ntrack type=bedGraph\n# note\ntig1\t0\t5\t2.5\nc 5 6 0\nc 6 9 1\n")
+    got = files.read_bedgraph(spark, {"s": str(tmp_path / "a.bedGraph")}).collect()
+    assert sorted(map(tuple, got)) == [("c", "s", 7, 9, 1.0), ("tig1", "s", 1, 5, 2.5)]
+
+
+def test_regions_are_cut_at_edges_and_not_at_tiles(spark):
+    tile = coverage.TILE
+    base = signal(spark, [(tile - 9, tile, 2.0), (tile + 1, tile + 10, 3.0)])
+    edges = lambda rows: spark.createDataFrame(rows, "chr string, start long, end long")
+    find = lambda within: sorted((r["start"], r["end"], r["index_start"]) for r in regions.find_regions(base, "mean_cov", 1.0, within=within, directions=("up",)).collect())
+    assert find(edges([("c", tile - 4, tile - 2)])) == [(tile - 9, tile - 5, 1), (tile - 4, tile - 2, 6), (tile - 1, tile + 10, 9)]
+    assert find(edges([("c", tile + 1, tile + 99)])) == [(tile - 9, tile, 1), (tile + 1, tile + 10, 11)]
+    assert find(edges([("d", 1, 5)])) == [(tile - 9, tile + 10, 1)]
+
+
+def test_smoothing_against_plain_regression(spark):
+    rng = np.random.default_rng(2)
+    x = np.unique(rng.integers(0, 400, 180)).astype(float)
+    y, w = rng.normal(size=len(x)), rng.uniform(0.5, 2, len(x))
+    got = smoothing.local_quadratic(y, x, w, span=30.0)
+    for i in range(len(x)):
+        d = np.abs(x - x[i])
+        h = max(30.0, np.sort(d)[6] + 1e-9)
+        near = d < h
+        root = np.sqrt(w[near] * (1 - (d[near] / h) ** 3) ** 3)
+        u = (x[near] - x[i]) / h
+        want = np.linalg.lstsq(np.stack([np.ones(len(u)), u, u * u], axis=1) * root[:, None], y[near] * root, rcond=None)[0][0]
+        assert abs(got[i] - want) < 1e-6
+    assert np.allclose(smoothing.running_mean(np.arange(5.0), np.arange(5.0), None, 3), [0.5, 1, 2, 3, 3.5])
+    # Clusters don't depend on tiles.
+    rows = signal(spark, [(1 + 700 * i, 300 + 700 * i, 1.0) for i in range(12)] + [(20_000, 20_010, 1.0)])
+    for gap, n in ((399, 13), (400, 2)):
+        assert smoothing.clusters(rows, "mean_cov", gap).select("cluster").distinct().count() == n
+
+
+def test_spline_weights_keep_lines():
+    x = np.array(significance.LAMBDAS)
+    w = significance.last_smoothed(x)
+    assert abs(w.sum() - 1) < 1e-9 and abs(w @ x - x[-1]) < 1e-9 and w[-1] > w[0]
+
+
+def test_cutoff_slip_warns(spark):
+    f = segs(spark, [(1, 10, [1.0]), (11, 20, [2.0])]).selectExpr("*", "y[0] AS f")
+    with pytest.warns(UserWarning):
+        assert fstats.fstat_cutoff(f, "empirical", 1e-8) == 2.0
+
+
+def test_empty_tables(spark):
+    none = signal(spark, [(1, 5, 1.0)]).where("start > 9")
+    assert regions.find_regions(none, "mean_cov", 1.0).count() == 0 and regions.find_regions(none, "mean_cov", 1.0, smooth=smoothing.running_mean).count() == 0
+    assert regions.find_regions(signal(spark, [(1, 5, 1.0)]), "mean_cov", 2.0).count() == 0
