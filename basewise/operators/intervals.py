@@ -66,12 +66,11 @@ def overlap_condition(a: str, b: str, min_overlap: int = 1, type: str = "any") -
     return F.least(e1, e2) - F.greatest(s1, s2) + 1 >= min_overlap
 
 
-def overlaps(left: DataFrame, right: DataFrame, min_overlap: int = 1, type: str = "any", ignore_strand: bool = True, bin: int = BIN, outer: bool = False) -> DataFrame:
+def overlaps(left: DataFrame, right: DataFrame, min_overlap: int = 1, type: str = "any", ignore_strand: bool = True, bin: int = BIN) -> DataFrame:
     """Pairs of overlapping rows as structs ``a`` and ``b``.
 
     Both sides are put in the bins that they touch and joined on chromosome and bin; a pair is kept in the first bin that
-    both are in. The plan is a hash or sort-merge join, whatever the sizes, never a nested loop. ``outer``: a left row is
-    there at least once, with a null ``b`` where a bin has nothing for it.
+    both are in. The plan is a hash or sort-merge join, whatever the sizes, never a nested loop.
     """
 
     def binned(rows: DataFrame, name: str) -> DataFrame:
@@ -82,7 +81,7 @@ def overlaps(left: DataFrame, right: DataFrame, min_overlap: int = 1, type: str
     on = (F.col("_chr") == F.col("_chr2")) & (F.col("_bin") == F.col("_bin2")) & (F.col("_bin") == F.greatest("_a", "_b")) & overlap_condition("a", "b", min_overlap, type)
     if not ignore_strand:
         on &= (F.col("a.strand") == F.col("b.strand")) | (F.col("a.strand") == "*") | (F.col("b.strand") == "*")
-    pairs = one.join(two, on, "left" if outer else "inner")
+    pairs = one.join(two, on)
     return pairs.select("a", "b")
 
 

@@ -47,10 +47,11 @@ def wide(long: DataFrame, samples: Sequence[str], keys: Sequence[str] = ("chr",
 def overlap_counts(regions: DataFrame, runs: DataFrame, samples: Sequence[str], read_length: Sequence[float] | float = 1.0, keys: Sequence[str] = ("chr", "start", "end"), bin: int = 256) -> DataFrame:
     """(keys, counts): coverage of runs inside each region over read length, an entry per sample, 0 without coverage.
 
-    One outer overlap join and one aggregation: a region without runs meets a null and keeps its zeros.
+    Regions go into the aggregation of the overlapping pairs as empty rows, so that one without runs keeps its zeros.
     """
     lengths = _per_sample(read_length, samples)
-    pairs = overlaps(regions, runs, bin=bin, outer=True).select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("b.sample").alias("_sample"), (F.col("b.score") * overlap_width()).cast("double").alias("_v"))
+    pairs = overlaps(regions, runs, bin=bin).select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("b.sample").alias("_sample"), (F.col("b.score") * overlap_width()).cast("double").alias("_v"))
+    pairs = pairs.unionByName(regions.select(*keys, F.lit(None).cast("string").alias("_sample"), F.lit(None).cast("double").alias("_v")))
     sums = [F.sum(F.when(F.col("_sample") == s, F.col("_v"))).alias(f"_c{i}") for i, s in enumerate(samples)]
     counts = F.array(*[F.coalesce(F.col(f"_c{i}"), F.lit(0.0)) / F.lit(lengths[s]) for i, s in enumerate(samples)])
     return pairs.groupBy(*keys).agg(*sums).select(*keys, counts.alias("counts"))
