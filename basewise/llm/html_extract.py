@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+OPENING = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+REST = re.compile(r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORDS = re.compile(r"[a-z]+")
 # Element kinds of HTML.
@@ -58,23 +59,57 @@ class Page:
     segments: list[tuple[int, str]] = field(default_factory=list)
 
 
+class Tags:
+    """The tags of a page from a place on; a page is read once, whatever is left open in it."""
+
+    def __init__(self, source: str) -> None:
+        self.source, self.last, self.open_quotes, self.unclosed = source, source.rfind(">"), 0, {}
+
+    def next(self, at: int) -> tuple[int, int, bool, str | None, str] | None:
+        """(start, end, whether an end tag, lower-case name or None for a comment or declaration, attributes) of the next."""
+        source = self.source
+        while m := OPENING.search(source, at):
+            if source.startswith("<!--", m.start()):
+                end = source.find("-->", m.end())
+                return m.start(), end + 3 if end >= 0 else len(source), False, None, ""
+            if m.end() > self.last + 1:
+                return None
+            if m[2] is None:
+                return m.start(), source.find(">", m.start()) + 1, False, None, ""
+            rest = REST.match(source, m.end()) if self.open_quotes < PATIENCE else None
+            if rest:
+                return m.start(), rest.end(), bool(m[1]), m[2].lower(), rest[1]
+            # A quote that nothing closes: the tag ends at the next bracket.
+            self.open_quotes += 1
+            end = source.find(">", m.end() - 1)
+            if end >= 0:
+                return m.start(), end + 1, bool(m[1]), m[2].lower(), source[m.end() : end]
+            at = m.end()
+        return None
+
+
+#: Scans to the end of a page for a closing quote, or for each end tag, that may fail before the rest does without.
+PATIENCE = 32
+
+
 def raw_end(source: str, tag: str, at: int) -> int:
     end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
     return end.end() if end else len(source)
 
 
-def silent_end(source: str, tag: str, at: int, around: set[str]) -> tuple[int, bool]:
+def silent_end(tags: Tags, tag: str, at: int, around: set[str]) -> tuple[int, bool]:
     """Where a silent element ends that may hold others, and whether by its end tag; ``around``: the blocks it is in.
 
     An unclosed one ends with the block around it, a drawing or formula at a tag that breaks out of it.
     """
     depth, inner, html = 1, [], 0
-    while m := TOKEN.search(source, at):
-        at = m.end()
-        if m[2] is None:
+    if tags.unclosed.get(tag, 0) >= PATIENCE:
+        return at, False
+    while found := tags.next(at):
+        start, at, closing, name, attributes = found
+        if name is None:
             continue
-        name = m[2].lower()
-        if m[1]:
+        if closing:
             depth -= name == tag
             if not depth:
                 return at, True
@@ -82,17 +117,18 @@ def silent_end(source: str, tag: str, at: int, around: set[str]) -> tuple[int, b
             if name in inner:
                 del inner[len(inner) - 1 - inner[::-1].index(name) :]
             elif name in around:
-                return m.start(), False
-        elif not empty(m[3]):
+                return start, False
+        elif not empty(attributes):
             if name in RAW:
-                at = raw_end(source, name, at)
+                at = raw_end(tags.source, name, at)
             elif name in BREAK_OUT and tag in ("svg", "math") and not html:
-                return m.start(), False
-            elif name in BLOCKS:
+                return start, False
+            elif name in BLOCKS and len(inner) < 512:
                 inner.append(name)
             depth += name == tag
             html += name in HOLDS_HTML
-    return len(source), False
+    tags.unclosed[tag] = tags.unclosed.get(tag, 0) + 1
+    return len(tags.source), False
 
 
 def empty(attributes: str) -> bool:
@@ -102,8 +138,9 @@ def empty(attributes: str) -> bool:
 
 def parse(source: str) -> Page:
     """Block elements in page order, and the text segments between their edges."""
-    page = Page()
+    page, tags = Page(), Tags(source)
     nodes, stack, pieces = page.nodes, [0], []
+    open_at: dict[str, list[int]] = {}  # places in the stack of each open block's tag
     at, links, size = 0, 0, len(source)
 
     def flush() -> None:
@@ -116,45 +153,40 @@ def parse(source: str) -> Page:
             pieces.clear()
         links = 0
 
-    def close(tags: str) -> None:
-        names = tags.split()
-        for k in range(len(stack) - 1, 0, -1):
-            if nodes[stack[k]].tag in names:
-                flush()
-                del stack[k:]
-                return
-            if nodes[stack[k]].tag in ("table", "ul", "ol", "dl") and "p" not in names:
-                return
+    def last(*names: str) -> int:
+        return max((open_at[n][-1] for n in names if open_at.get(n)), default=0)
+
+    def close(place: int) -> None:
+        """End the block at a place of the stack and all inside it."""
+        flush()
+        while len(stack) > place:
+            open_at[nodes[stack.pop()].tag].pop()
 
     while at < size:
-        m = TOKEN.search(source, at)
-        chunk = source[at : m.start()] if m else source[at:]
+        found = tags.next(at)
+        chunk = source[at : found[0]] if found else source[at:]
         if chunk:
             pieces.append(chunk)
             if links:
                 nodes[stack[-1]].linked += len(chunk.strip())
-        if not m:
+        if not found:
             break
-        at = m.end()
-        if m[2] is None:
+        _, at, closing, tag, attributes = found
+        if tag is None:
             continue
-        tag = m[2].lower()
-        if m[1]:
+        if closing:
             if tag == "a":
                 links = max(0, links - 1)
             elif tag in BLOCKS:
-                for k in range(len(stack) - 1, 0, -1):
-                    if nodes[stack[k]].tag == tag:
-                        flush()
-                        del stack[k:]
-                        break
+                if place := last(tag):
+                    close(place)
                 else:
                     flush()
         elif tag in SILENT:
             if tag in RAW:
                 at = raw_end(source, tag, at)
-            elif tag not in ("svg", "math") or not empty(m[3]):
-                end, closed = silent_end(source, tag, at, {nodes[k].tag for k in stack[1:]})
+            elif tag not in ("svg", "math") or not empty(attributes):
+                end, closed = silent_end(tags, tag, at, {t for t, places in open_at.items() if places})
                 if closed or tag not in ("head", "button", "object", "noscript"):
                     at = end
         elif tag == "a":
@@ -165,13 +197,14 @@ def parse(source: str) -> Page:
                 flush()
         elif tag in BLOCKS:
             flush()
-            if "p" in (nodes[k].tag for k in stack):
-                close("p")
-            if tag in CLOSES:
-                close(CLOSES[tag])
-            words = tuple(dict.fromkeys(w for a in ATTRIBUTE.finditer(m[3]) for w in WORDS.findall((a[2] or a[3] or a[4] or "").lower()))) if m[3] else ()
+            if place := last("p"):
+                close(place)
+            if tag in CLOSES and (place := last(*CLOSES[tag].split())) > last("table", "ul", "ol", "dl"):
+                close(place)
+            words = tuple(dict.fromkeys(w for a in ATTRIBUTE.finditer(attributes) for w in WORDS.findall((a[2] or a[3] or a[4] or "").lower()))) if attributes else ()
             nodes.append(Node(tag, stack[-1], words))
-            if not m[3].endswith("/") or tag not in ("p", "div"):
+            if not attributes.endswith("/") or tag not in ("p", "div"):
+                open_at.setdefault(tag, []).append(len(stack))
                 stack.append(len(nodes) - 1)
     flush()
     return page
@@ -181,17 +214,22 @@ def evidence(page: Page) -> list[list[str]]:
     """The features of each node."""
     nodes = page.nodes
     text, linked, paragraphs = [n.text for n in nodes], [min(n.linked, n.text) for n in nodes], [int(n.tag == "p") for n in nodes]
+    titles = [int(n.tag == "h1") for n in nodes]
     for i in range(len(nodes) - 1, 0, -1):
         p = nodes[i].parent
         text[p] += text[i]
         linked[p] += linked[i]
         paragraphs[p] += paragraphs[i]
+        titles[p] += titles[i]
     out = []
     for i, n in enumerate(nodes):
         share = linked[i] / text[i] if text[i] else 0.0
         f = [f"tag={n.tag}", f"links={0 if share < 0.02 else 1 if share < 0.3 else 2 if share < 0.7 else 3}", f"size={min(6, int(math.log2(text[i] + 1) / 2))}"]
         if n.tag not in ("p", "li"):
             f.append(f"paragraphs={min(3, paragraphs[i])}")
+            # Of the page's text, and whether its title is inside, beside or elsewhere.
+            f.append(f"{n.tag} share={int(4.99 * text[i] / max(text[0], 1))}")
+            f.append(f"title={'inside' if titles[i] else 'beside' if titles[n.parent] else 'elsewhere' if titles[0] else 'none'}")
         out.append(f + [f"word={w}" for w in n.words])
     # The root is judged by the text that is in no block.
     n, share = nodes[0], min(nodes[0].linked, nodes[0].text) / max(nodes[0].text, 1)
@@ -203,7 +241,7 @@ def evidence(page: Page) -> list[list[str]]:
 class Model:
     odds: dict[str, float]
     child: tuple[tuple[float, float], tuple[float, float]]
-    tempering: float = 0.8
+    tempering: float = 0.65
 
     def marginals(self, page: Page) -> list[float]:
         """Probability of content of each node, by messages up and down the tree."""
@@ -259,7 +297,7 @@ PARTS = {
 }
 
 
-def labelled_pages(n: int = 400, seed: int = 11) -> list[str]:
+def labelled_pages(n: int = 1000, seed: int = 11) -> list[str]:
     """Pages of many layouts; content elements have the class ``MARK``."""
     r = random.Random(seed)
 
@@ -323,6 +361,9 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[str]:
         before = "".join(part(k) for k in ("notice", "header", "nav", "ad") if r.random() < 0.6)
         after = "".join(part(k) for k in ("share", "aside", "comments", "form", "ad", "notice", "nav", "footer") if r.random() < 0.45)
         body = before + content() + after
+        if r.random() < 0.1:  # a fragment that is all content
+            out.append(content() if r.random() < 0.5 else element(r.choice(["article", "main", "div", "section"]), element("p", words(1, r.choice([2, 6, 20])), content=True), content=True))
+            continue
         if r.random() < 0.5:
             body = element("div", body, r.choice(["", "wrapper", "container", "page", "layout", "row"]))
         out.append(f"<!DOCTYPE html><html><head><title>{words(1, 5)}</title></head><body>{body}</body></html>")

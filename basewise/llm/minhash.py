@@ -290,13 +290,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group of near-duplicates, with the columns of ``docs``."""
+    """One document of each group of near-duplicates, with the columns of ``docs``.
+
+    Rows that repeat a doc_id are one document: of those with the same text one stays, different texts all stay or go.
+    """
     found = near_duplicates(docs, width, percent)
     gone = durable(found.where("NOT kept").select(F.col("doc_id").alias(free_name(docs, "gone_id"))).distinct())
     small = gone.count() <= BROADCAST_IDS
     out = docs.join(F.broadcast(gone) if small else gone, docs["doc_id"] == F.col(gone.columns[0]), "left_anti")
     if not found.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").isEmpty():
-        out = out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id IS NULL"))
+        # Rows that repeat id and text are one, the least by its other columns; other texts of an id stay.
+        rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+        one = out.where("doc_id IS NOT NULL").groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in rest])).alias("rest"))
+        one = one.select(*[F.col("rest")[c].alias(c) if c in rest else F.col(c) for c in docs.columns])
+        out = one.unionByName(out.where("doc_id IS NULL"))
     return out
 
 

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from basewise.llm import components as component_module
 from basewise.llm import langid, lm, minhash, mixing, packing, substrings, token_rollup
 from basewise.llm.common import window_hashes, words_of
 from basewise.llm.components import components
@@ -203,7 +204,17 @@ def test_minhash(docs, messy, empty, k):
         assert collections.Counter(ids) == collections.Counter({w[0]: 1 for w in want if w[3] and w[0] is not None}) + collections.Counter([None, None])
 
 
-def test_components(spark):
+def test_keep_one_loses_no_text_of_a_repeated_id(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a, "x"), (1, b, "y"), (1, b, "z"), (2, a, "x"), (3, "alone here", None)]
+    kept = minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, a, "x"), (1, b, "y"), (3, "alone here", None)], key=str)
+
+
+@pytest.mark.parametrize("hub", [256, 1])
+def test_components(spark, monkeypatch, hub):
+    monkeypatch.setattr(component_module, "HUB_EDGES", hub)
+    monkeypatch.setattr(component_module, "BROADCAST_HUBS", 10)
     rng = np.random.default_rng(2)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(i, i + 1) for i in range(500, 560)]
     root = {}

@@ -137,6 +137,49 @@ def test_extraction():
     assert model.extract(None) == "" and model.extract("") == "" and model.extract("<<<>>&am<p") is not None
 
 
+#: Pages of other makes than the training pages, and their main text by hand.
+HAND = [
+    (
+        """<!doctype html><html><body class="home-page"><div id="top"><a href="/">Evening Post</a><ul class="main-menu"><li><a href="/w">World</a></li><li><a href="/s">Sport</a></li></ul></div>
+<div id="content"><div class="post-inner"><h1>Ferry service to the islands returns after two years</h1><p>The first boat left the harbour at seven on Monday with some forty passengers on board, most of them islanders going home.</p>
+<p>Fares have gone up by a tenth, which the company puts down to fuel, and a second crossing in the evening is planned for the summer.</p><blockquote><p>We had almost given up hope of seeing it again, said one of the passengers.</p></blockquote></div>
+<div class="related-links"><h4>More</h4><ul><li><a href="/a">Harbour works</a></li><li><a href="/b">Weather</a></li></ul></div></div><div id="bottom"><p>Copyright Evening Post. All rights reserved.</p></div></body></html>""",
+        ["Ferry service to the islands returns after two years", "The first boat left the harbour at seven on Monday with some forty passengers on board, most of them islanders going home.", "Fares have gone up by a tenth, which the company puts down to fuel, and a second crossing in the evening is planned for the summer.", "We had almost given up hope of seeing it again, said one of the passengers."],
+    ),
+    (
+        """<html><body><table width="100%"><tr><td class="navigation"><a href="1.html">One</a><br><a href="2.html">Two</a><br><a href="3.html">Three</a></td><td class="text"><h1>Keeping bees in town</h1><p>Bees do well in town gardens, since something is in flower from March until October and lawns are seldom sprayed.</p>
+<p>A hive needs morning sun, shelter from the wind and water near by; neighbours should be asked before it is set up.</p><ul><li>Feed only in spring and after the harvest.</li><li>Look for mites every three weeks.</li></ul></td></tr></table><div class="cookie-banner">This site uses cookies. <button>Fine</button></div></body></html>""",
+        ["Keeping bees in town", "Bees do well in town gardens, since something is in flower from March until October and lawns are seldom sprayed.", "A hive needs morning sun, shelter from the wind and water near by; neighbours should be asked before it is set up.", "Feed only in spring and after the harvest.", "Look for mites every three weeks."],
+    ),
+    (
+        """<main><article><header><h1>A short note</h1></header><p>The library will be closed on Friday for an inventory of the whole collection.</p><aside class="newsletter"><p>Get our letter every week.</p><form><input></form></aside><p>Books that are due then can be brought back on Saturday without a fee.</p></article>
+<section id="comments"><h3>2 comments</h3><div class="comment"><p>Thanks for telling us in time, I had a whole bag to bring back.</p></div><div class="comment"><p>Why on a Friday?</p></div></section></main><footer><nav><a href="/i">Imprint</a></nav></footer>""",
+        ["A short note", "The library will be closed on Friday for an inventory of the whole collection.", "Books that are due then can be brought back on Saturday without a fee."],
+    ),
+]
+
+
+def test_pages_of_another_make():
+    model, kept, lost, wrong = html_extract.train(), 0, 0, 0
+    for source, want in HAND:
+        got = model.extract(source).split("\n\n")
+        kept += sum(x in got for x in want)
+        lost += sum(x not in got for x in want)
+        wrong += sum(x not in want for x in got)
+    assert kept >= 11 and lost <= 1 and wrong <= 1
+
+
+def test_hostile_pages_are_read_once():
+    import time
+
+    model = html_extract.train(html_extract.labelled_pages(40))
+    pages = ["<a " * 40_000, "<div>" * 40_000, "<div><p>" * 20_000, '<a href="x ' * 20_000, "<button>x" * 20_000, "<div></p>" * 20_000, "<a '\"<b>" * 20_000, "<ul>" + "<div>" * 20_000 + "<li></li>" * 20_000, "<!--" * 40_000, "<svg>" * 20_000]
+    for page in pages:
+        began = time.perf_counter()
+        model.extract(page)
+        assert time.perf_counter() - began < 20, page[:20]
+
+
 def test_marginals_are_exact():
     model = html_extract.train(html_extract.labelled_pages(60))
     page = html_extract.parse("<body><div class=ad>x y<p>z</p></div><article><p>one two</p><p>three</p></article></body>")
