@@ -197,7 +197,7 @@ def hold_memory() -> None:
     try:
         libc = ctypes.CDLL("libc.so.6")
         libc.mallopt(-3, 32 << 20)  # fixed values: M_MMAP_THRESHOLD, M_TRIM_THRESHOLD
-        libc.mallopt(-1, 512 << 20)
+        libc.mallopt(-1, 128 << 20)
     except (OSError, AttributeError):  # another C library
         pass
 
