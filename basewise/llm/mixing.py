@@ -1,6 +1,6 @@
 """Mixing sources to target weights by hash-threshold histograms, in DataFrame functions only.
 
-Every row has a 40-bit hash of its id and text. For each source the tokens are summed by the leading hash bits, the bucket
+Every row has a 36-bit hash of its id and text. For each source the tokens are summed by the leading hash bits, the bucket
 in which the running sum passes the source's budget is found, and only that bucket is summed again by its next bits,
 until the threshold is exact. A document is then taken when its hash lies below its source's threshold: no sort, no
 row-level join, and the same choice on every run. What the first document that doesn't fit leaves of the budget is filled
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import WORD, durable, free_name
 
 #: Hash bits told apart by one histogram, and how many histograms are nested.
-BITS, LEVELS = 20, 2
+BITS, LEVELS = 12, 3
 #: Thresholds of each source.
 ROUNDS = 3
 #: Up to so many sources the table of thresholds is broadcast; beyond, it is joined by a shuffle.
@@ -39,10 +39,10 @@ def identity(docs: DataFrame) -> Column:
     return F.concat(F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.lit(" "), F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")))
 
 
-def hash40(key: Column, rank: Column) -> Column:
-    """The first 40 bits of the MD5 of a row's identity and rank."""
+def hash36(key: Column, rank: Column) -> Column:
+    """The first 36 bits of the MD5 of a row's identity and rank."""
     digest = F.md5(F.concat(key, F.lit(" "), rank.cast("string")).cast("binary"))
-    return F.conv(F.substring(digest, 1, 10), 16, 10).cast("long")
+    return F.conv(F.substring(digest, 1, 9), 16, 10).cast("long")
 
 
 def hashed(rows: DataFrame, key: str, h: str) -> DataFrame:
@@ -50,7 +50,7 @@ def hashed(rows: DataFrame, key: str, h: str) -> DataFrame:
     rows = durable(rows)
     repeated = rows.groupBy(key).agg(F.count("*").alias(h)).where(F.col(h) > 1).select(key)
     if repeated.isEmpty():
-        return rows.withColumn(h, hash40(F.col(key), F.lit(0))).drop(key)
+        return rows.withColumn(h, hash36(F.col(key), F.lit(0))).drop(key)
     part, before, rank = (free_name(rows, f"{key}_{x}") for x in ("part", "before", "rank"))
     repeated = durable(repeated)
     several = durable(rows.join(repeated, key, "left_semi").withColumn(part, F.spark_partition_id()))
@@ -59,7 +59,7 @@ def hashed(rows: DataFrame, key: str, h: str) -> DataFrame:
     ranked = several.join(counts, [key, part]).withColumn(rank, F.col(before) + F.row_number().over(Window.partitionBy(key, part).orderBy(F.lit(0))) - 1)
     one = rows.join(repeated, key, "left_anti").withColumn(rank, F.lit(0).cast("long"))
     both = one.unionByName(ranked.drop(part, before))
-    return both.withColumn(h, hash40(F.col(key), F.col(rank))).drop(key, rank)
+    return both.withColumn(h, hash36(F.col(key), F.col(rank))).drop(key, rank)
 
 
 def source_targets(sizes: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -171,7 +171,7 @@ def mixed_rows(docs: DataFrame, **how) -> DataFrame:
 ORACLE = """
 WITH d AS (
   SELECT doc_id, source, COALESCE(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(COALESCE(doc_id::VARCHAR, '') || ' ' || md5(COALESCE(text, '')) || ' ' || (row_number() OVER (PARTITION BY doc_id, COALESCE(text, '')) - 1)::VARCHAR), 1, 10))::BIGINT AS h
+         ('0x' || substr(md5(COALESCE(doc_id::VARCHAR, '') || ' ' || md5(COALESCE(text, '')) || ' ' || (row_number() OVER (PARTITION BY doc_id, COALESCE(text, '')) - 1)::VARCHAR), 1, 9))::BIGINT AS h
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 n AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS n FROM s),
