@@ -21,6 +21,8 @@ N = len(fx.SAMPLES)
 CUT = 20.0
 MOD, MOD0 = make_models(None, fx.GROUPS, [fx.ADJUST])
 F_CUT = 4.0
+#: No mean of a few means of samples is at this cut-off, so that rounding doesn't decide.
+SMOOTH_CUT = 20.01
 LENGTHS = [30.0, 31.0, 32.0, 33.0, 34.0, 35.0]
 TOTALS = [9000.0, 9500.0, 10000.0, 10500.0, 11000.0, 11500.0]
 
@@ -149,7 +151,7 @@ def queries() -> dict[str, Query]:
         "annotate_hits": lambda s, d: annotation.annotate_hits(_numbered(s, d), _states(s, d, "coding"), 3),
         "nearest_gene": lambda s, d: annotation.nearest_genes(_exon_regions(s, d), fx.transcripts(s, d)),
         "nearest_opposite": lambda s, d: intervals.nearest(*_stranded(_exon_regions(s, d), fx.transcripts(s, d))),
-        "filter_smooth_mean": lambda s, d: _positions(filters.filter_data(_segs(s, d), N, CUT, "mean", mean=True, smooth_mean=smoothing.running_mean, max_cluster_gap=30, k=5), "mean_cov"),
+        "filter_smooth_mean": lambda s, d: _positions(filters.filter_data(_segs(s, d), N, SMOOTH_CUT, "mean", mean=True, smooth_mean=smoothing.running_mean, max_cluster_gap=30, k=5), "mean_cov"),
         "regions_smoothed": lambda s, d: r6(_regions(s, d, smooth=smoothing.running_mean, max_cluster_gap=30, k=5).select("chr", "start", "end", "value", "area", "index_start", "index_end")),
         "null_regions_smoothed": lambda s, d: r6(significance.null_regions(_logged(s, d), MOD, MOD0, fx.PERMUTATIONS, F_CUT, smooth=smoothing.finite_running_mean, max_cluster_gap=30, k=3)),
         "regions_split": lambda s, d: r6(_regions(s, d, within=fx.transcripts(s, d).where("tx_id % 5 = 0")).select("chr", "start", "end", "value", "area", "index_start", "index_end")),
@@ -294,7 +296,7 @@ def oracle_sql() -> dict[str, str]:
         "annotate_hits": _with(_states_sql("coding") + ",\n" + _BASE_ONLY + _NUMBERED, "SELECT rg.region_id, rg.chr, rg.start_pos, rg.end_pos, st.state, st.a AS state_start, st.b AS state_end, st.strand FROM rg JOIN st ON st.chr = rg.chr AND least(st.b, rg.end_pos) - greatest(st.a, rg.start_pos) + 1 >= 3"),
         "nearest_gene": _with(_TX + ", p AS (SELECT e.tx_id * 10 + e.rank AS region_id, e.strand, e.a AS ea, e.b AS eb, f.tx_id, f.gene_id, f.a, f.b, f.strand AS fs, greatest(0, f.a - e.b, e.a - f.b) AS distance FROM ex e JOIN tx f ON f.chr = e.chr), k AS (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY distance, tx_id) AS n FROM p)", "SELECT region_id, tx_id, gene_id, distance::BIGINT AS distance, CASE WHEN distance > 0 THEN CASE WHEN (eb < a) = (fs <> '-') THEN 'upstream' ELSE 'downstream' END WHEN a <= ea AND eb <= b THEN 'inside' WHEN ea <= a AND b <= eb THEN 'covers' WHEN (ea < a) = (fs <> '-') THEN 'overlaps 5 prime' ELSE 'overlaps 3 prime' END AS description FROM k WHERE n = 1"),
         "nearest_opposite": _with(_TX + ", p AS (SELECT e.tx_id * 10 + e.rank AS region_id, f.tx_id, greatest(0, f.a - e.b, e.a - f.b) AS distance FROM ex e JOIN tx f ON f.chr = e.chr AND f.strand <> e.strand), k AS (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY distance, tx_id) AS n FROM p)", "SELECT region_id, tx_id, distance::BIGINT AS distance FROM k WHERE n = 1"),
-        "filter_smooth_mean": _with(_BASE + f",\nab AS (SELECT chr, pos, {_MEAN_Y} AS x FROM base),\n" + _islands("ab", "true", 30) + ", sm AS (SELECT chr, pos, avg(x) OVER (PARTITION BY chr, g ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS v FROM i)", f"SELECT chr, pos, {_r('v', 'mean_cov')} FROM sm WHERE v > {CUT}"),
+        "filter_smooth_mean": _with(_BASE + f",\nab AS (SELECT chr, pos, {_MEAN_Y} AS x FROM base),\n" + _islands("ab", "true", 30) + ", sm AS (SELECT chr, pos, avg(x) OVER (PARTITION BY chr, g ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS v FROM i)", f"SELECT chr, pos, {_r('v', 'mean_cov')} FROM sm WHERE v > {SMOOTH_CUT}"),
         "regions_smoothed": _with(_MEAN + ",\n" + _islands("mc", "true", 30, prefix="c") + ", sm AS (SELECT chr, pos, avg(x) OVER (PARTITION BY chr, g ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS x FROM ci),\n" + _islands("sm", f"x >= {CUT}"), f"SELECT {_REGION}, {_r('avg(x)', 'value')}, {_r('abs(sum(x))', 'area')}, min(idx)::BIGINT AS index_start, max(idx)::BIGINT AS index_end FROM i GROUP BY chr, g"),
         "null_regions_smoothed": _with(_FSTAT + _NULLS + _islands("np", "true", 30, keys="perm, chr", prefix="c") + ", sm AS (SELECT perm, chr, pos, CASE WHEN x IS NULL OR isinf(x) THEN x ELSE avg(CASE WHEN NOT isinf(x) THEN x END) OVER (PARTITION BY perm, chr, g ORDER BY pos ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) END AS x FROM ci),\n" + _islands("sm", f"x >= {F_CUT}", keys="perm, chr"), f"SELECT perm::INTEGER AS perm, {_r('avg(x)', 'stat')}, count(*)::BIGINT AS width, {_r('abs(sum(x))', 'area')} FROM i GROUP BY perm, chr, g"),
         "regions_split": _with(_MEAN + ",\n" + _TX + ", eg AS (SELECT DISTINCT chr, unnest([a, b + 1]) AS pos FROM tx WHERE tx_id % 5 = 0), mk AS (SELECT mc.*, (eg.pos IS NOT NULL) AS cut FROM mc LEFT JOIN eg ON eg.chr = mc.chr AND eg.pos = mc.pos), ix AS (SELECT *, row_number() OVER (PARTITION BY chr ORDER BY pos) AS idx, CASE WHEN cut OR lag(pos) OVER (PARTITION BY chr ORDER BY pos) + 1 IS DISTINCT FROM pos THEN 1 ELSE 0 END AS new FROM mk), i AS (SELECT *, sum(new) OVER (PARTITION BY chr ORDER BY pos) AS g FROM ix)", f"SELECT {_REGION}, {_r('avg(x)', 'value')}, {_r('abs(sum(x))', 'area')}, min(idx)::BIGINT AS index_start, max(idx)::BIGINT AS index_end FROM i GROUP BY chr, g"),
