@@ -6,6 +6,9 @@ counts. Landmarks are labelled training texts; ridge regression against them giv
 The kernel is linear in a text's presence vector, so landmarks and weights fold into one matrix per length, and texts
 are scored by batches: presence matrix times folded matrix.
 
+Texts are scored in pieces of at most ``PIECE`` bytes, so that a long text doesn't have every n-gram: its outputs are the
+mean over its pieces, weighted by their lengths.
+
 Training reads a bounded sample: at most ``per_language`` labelled texts of each language, by lowest id hash, none over
 ``longest_training_text`` characters. Prediction reads every whole text.
 
@@ -26,6 +29,8 @@ from pyspark.sql import types as T
 from .common import _LOWER, byte_batches, crc_mod, free_name, give_back
 
 SLOT_BITS = 13
+#: Bytes of a text scored at once: more would fill the slots.
+PIECE = 1 << 15
 
 
 def presence(texts: list[bytes | None], n: int) -> np.ndarray:
@@ -54,11 +59,16 @@ class LanguageModel:
 
     def scores(self, texts: list[bytes | None]) -> np.ndarray:
         """Regression outputs, a row per text and a column per language."""
-        out = np.zeros((len(texts), len(self.languages)))
+        cuts = [(i, at) for i, x in enumerate(texts) for at in range(0, max(len(x or b""), 1), PIECE)]
+        pieces = [(texts[i] or b"")[at : at + PIECE] for i, at in cuts]
+        owner, size = np.array([i for i, _ in cuts], dtype=np.int64), np.array([max(len(x), 1) for x in pieces], dtype=float)
+        each = np.zeros((len(pieces), len(self.languages)))
         for n, matrix in zip(self.orders, self.folded, strict=True):
-            x = presence(texts, n)
-            out += (x @ matrix) / np.sqrt(np.maximum(x.sum(axis=1), 1))[:, None]
-        return out
+            x = presence(pieces, n)
+            each += (x @ matrix) / np.sqrt(np.maximum(x.sum(axis=1), 1))[:, None]
+        out = np.zeros((len(texts), len(self.languages)))
+        np.add.at(out, owner, each * size[:, None])
+        return out / np.bincount(owner, size, len(texts))[:, None]
 
     def predict(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         z = self.scores(texts) * self.sharpness
@@ -136,11 +146,17 @@ def predict_languages(docs: DataFrame, **how) -> DataFrame:
     return identify(own, model, "lang_pred", "score").select("doc_id", "held_out", "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least_score: float = 0.0, **how) -> DataFrame:
-    """The rows whose language is recognised, with the columns of ``docs``; without a model, those with a letter."""
+def keep_identified(docs: DataFrame, least_lead: float = 0.2, **how) -> DataFrame:
+    """The rows whose language is recognised, with the columns of ``docs``; without a model, those with a letter.
+
+    A language is recognised if the score has come ``least_lead`` of the way from chance, one divided by the number of
+    languages, to 1. With four languages that is a score of 0.4: words of other scripts and codes stay
+    below, as do texts of a few letters; prose of a sentence or more scores 0.5 and over. One language leaves nothing to tell.
+    """
     pred, score = free_name(docs, "lang_pred"), free_name(docs, "lang_score")
     model = train(docs, **how)
     if model is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
+    chance = 1 / len(model.languages)
     out = identify(docs, model, pred, score)
-    return out.where((F.col(pred) != "und") & (F.col(score) >= least_score)).drop(pred, score)
+    return out.where((F.col(pred) != "und") & (F.col(score) >= chance + least_lead * (1 - chance))).drop(pred, score)

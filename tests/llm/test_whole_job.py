@@ -57,3 +57,22 @@ def test_extraction_keeps_text_after_silent_elements_and_outside_blocks():
 def test_language_filter_keeps_documents_without_a_model(docs, messy):
     kept = langid.keep_identified(docs.withColumn("lang", docs["lang"].substr(100, 0)).replace("", None, ["lang"]))
     assert kept.columns == docs.columns and kept.count() == sum(1 for r in messy if r[1] and any(c.isalpha() for c in r[1])) > 0
+
+
+def test_language_filter_rejects_what_no_language_fits(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    junk = [(-1, "0x9f3a 7712 qq8 zzkx 19-22 #### vvv xx"), (-2, "\u3053\u3093\u306b\u3061\u306f \u4e16\u754c"), (-4, "\u043f\u0440\u0438\u0432\u0435\u0442 \u043a\u0430\u043a")]
+    more = spark.createDataFrame([tuple({"doc_id": i, "text": t}.get(c) for c in docs.columns) for i, t in junk], docs.schema)
+    kept = {r["doc_id"] for r in langid.keep_identified(docs.unionByName(more)).select("doc_id").collect()}
+    assert not kept & {i for i, _ in junk}
+    assert kept == {r["doc_id"] for r in docs.where("length(text) > 3").select("doc_id").collect()}
+
+
+def test_languages_of_very_long_texts(docs):
+    model = langid.train(docs)
+    short = {r["lang"]: r["text"].encode() for r in docs.where("lang IS NOT NULL AND length(text) > 60").collect()}
+    names = [k for k in model.languages if k in short]
+    long = [b" ".join([short[k]] * (4_000_000 // len(short[k]))) for k in names]
+    assert names and [model.languages[i] for i in model.predict(long)[0]] == names
+    z, pieces = model.scores(long[:1])[0], [long[0][a : a + langid.PIECE] for a in range(0, len(long[0]), langid.PIECE)]
+    assert np.allclose(z, np.average(model.scores(pieces), axis=0, weights=[len(p) for p in pieces]))
