@@ -1,10 +1,13 @@
 """Published micro-cases and properties of the operators."""
 
+import collections
+import random
+
 import numpy as np
 import pytest
 
 from basewise.functions import names, stats
-from basewise.operators import coverage, depth, filters, fstats, intervals, matrix, regions, significance, smoothing
+from basewise.operators import annotation, coverage, depth, filters, fstats, intervals, matrix, regions, significance, smoothing
 from basewise.sources import files
 
 
@@ -232,3 +235,41 @@ def test_empty_tables(spark):
     none = signal(spark, [(1, 5, 1.0)]).where("start > 9")
     assert regions.find_regions(none, "mean_cov", 1.0).count() == 0 and regions.find_regions(none, "mean_cov", 1.0, smooth=smoothing.running_mean).count() == 0
     assert regions.find_regions(signal(spark, [(1, 5, 1.0)]), "mean_cov", 2.0).count() == 0
+
+
+def test_sweeps_against_brute_force(spark):
+    r = random.Random(8)
+    rows = []
+    for i in range(120):
+        a = r.randint(1, 4000)
+        rows.append((i, r.choice(["c", "d"]), a, a + r.choice([0, 3, 40, 900]), r.choice("+-"), r.choice(["intron", "exon"])))
+    table = spark.createDataFrame(rows, "id long, chr string, start long, end long, strand string, kind string")
+    covered = {c: collections.Counter(p for _, k, a, b, *_ in rows if k == c for p in range(a, b + 1)) for c in "cd"}
+    lengths = spark.createDataFrame([("c", 5500), ("d", 5500), ("e", 7)], "chr string, length long")
+    asked = spark.createDataFrame([(i, r.choice(["c", "d"]), a, a + 5) for i, a in enumerate(range(1, 5000, 70))], "region_id long, chr string, start long, end long")
+    few = table.where("id % 12 = 0").withColumnRenamed("id", "tx_id")
+    sort = lambda d: sorted(map(tuple, d.collect()))
+    whole = {
+        "reduced": sort(intervals.reduce_intervals(table, min_gap=3, members="id")),
+        "pieces": sort(intervals.disjoin(table)),
+        "gaps": sort(intervals.gaps(table, lengths)),
+        "states": sort(annotation.state_tiling(table, annotation.FULL)),
+        "nearest": sort(intervals.nearest(asked, few)),
+        "numbers": sort(matrix.numbered(few.select("chr", "start", "end"))),
+    }
+    assert {(c, p): n for c, a, b, n in whole["pieces"] for p in range(a, b + 1)} == {(c, p): n for c in "cd" for p, n in covered[c].items()}
+    assert {(c, p) for c, a, b in whole["gaps"] for p in range(a, b + 1)} == {(c, p) for c, n in (("c", 5500), ("d", 5500), ("e", 7)) for p in range(1, n + 1) if not covered.get(c, {}).get(p)}
+    state = {(c, s, p): k for c, s, a, b, k in whole["states"] for p in range(a, b + 1)}
+    best = {}
+    for _, c, a, b, s, k in rows:
+        for p in range(a, b + 1):
+            best[c, s, p] = max(k, best.get((c, s, p), ""), key=("", *annotation.FULL).index)
+    assert state == best
+    for x, y in zip(whole["states"], whole["states"][1:]):
+        assert x[:2] != y[:2] or x[3] + 1 < y[2] or x[4] != y[4]
+    kept = [(x["tx_id"], x["chr"], x["start"], x["end"]) for x in few.collect()]
+    for i, c, a, b in sort(asked):
+        near = min(((max(0, s - b, a - e), t) for t, k, s, e in kept if k == c))
+        assert (i, near[1], near[0]) in whole["nearest"]
+    assert all(x[1] - y[2] > 3 for y, x in zip(whole["reduced"], whole["reduced"][1:]) if x[0] == y[0])
+    assert [x[:3] for x in sorted(whole["numbers"], key=lambda x: (x[0], x[3]))] == sorted(k[1:] for k in kept)
