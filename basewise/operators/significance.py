@@ -16,6 +16,8 @@ from .regions import find_regions
 
 #: Ranges over which null areas are spread for counting.
 SPLITS = 256
+#: Areas that differ by this share or less are equal: rounding of the same F under two orders of the samples.
+SAME = 1e-9
 
 
 def permutations(n: int, times: int, seed: int = 20240101) -> list[list[int]]:
@@ -61,14 +63,15 @@ def count_greater(values: DataFrame, value: str, others: DataFrame, other: str,
 def p_values(regions: DataFrame, nulls: DataFrame, area: str = "area", doubled: bool = True) -> DataFrame:
     """Empirical p-values: (number of greater null areas + 1) / (number of nulls + 1); null without nulls.
 
-    ``doubled`` counts every null region twice, as the published analyses do.
+    ``doubled`` counts every null region twice, as the published analyses do. A null area equal to the region's but for
+    rounding is not greater.
     """
     n = nulls.where(F.col("area").isNotNull()).count()
     if not n:
         return regions.withColumn("pvalue", F.lit(None).cast("double"))
     k = 2 if doubled else 1
-    out = count_greater(regions, area, nulls, "area", "_greater")
-    return out.withColumn("pvalue", (F.col("_greater") * k + 1) / F.lit(float(n * k + 1))).drop("_greater")
+    out = count_greater(regions.withColumn("_least", F.col(area) + F.abs(F.col(area)) * SAME), "_least", nulls, "area", "_greater")
+    return out.withColumn("pvalue", (F.col("_greater") * k + 1) / F.lit(float(n * k + 1))).drop("_greater", "_least")
 
 
 def fwer(regions: DataFrame, nulls: DataFrame, n_permute: int, cutoff_used: float, area: str = "area") -> DataFrame:

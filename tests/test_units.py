@@ -71,6 +71,17 @@ def test_p_values_and_fwer(spark):
     assert significance.p_values(areas, nulls.limit(0)).where("pvalue IS NULL").count() == 2
 
 
+def test_p_values_do_not_depend_on_rounding(spark):
+    """At these counts two orders of the samples have the same F, but for rounding; a clearly greater area still counts."""
+    mod, mod0 = stats.make_models(None, ["A", "B"] * 3, [[1.0, 1.0, 1.0, 0.0, 0.0, 0.0]])
+    logged = filters.log_transform(segs(spark, [(990, 990, (17, 18, 18, 20, 18, 20))]))
+    tied = fstats.permuted_stats(logged, mod, mod0, [[0, 1, 2, 3, 4, 5], [2, 4, 1, 5, 0, 3]]).withColumnRenamed("f", "area")
+    a, b = [r["area"] for r in tied.collect()]
+    assert a == pytest.approx(b, rel=1e-12) and {r["pvalue"] for r in significance.p_values(tied, tied).collect()} == {1 / 5}
+    apart = tied.withColumn("area", tied["area"] * (1 + 1e-6))
+    assert {r["pvalue"] for r in significance.p_values(tied, apart).collect()} == {1.0}
+
+
 def test_count_greater_against_brute_force(spark):
     rng = np.random.default_rng(5)
     a, b = rng.integers(0, 200, 300).astype(float), rng.integers(0, 200, 2000).astype(float)
