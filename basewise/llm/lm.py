@@ -11,6 +11,7 @@ once with its count, groups of words by hash add up what the chunks sent, and ea
 Units come from the counts of all training documents, and the network is fitted by truncated backpropagation through
 time on all of them: each document is in one shard of about ``SHARD_TOKENS`` tokens, shards are trained side by side from
 the same weights, and the weights are averaged by tokens (``rounds``: 1, 3, 12, ... shards, then ``ROUND_SHARDS`` each).
+The first shard is passed three times and each later one once, whatever their number.
 Scoring runs over whole texts in windows and carries the state across them.
 
 Defined cases: null text is empty and scores its end alone; a row with null doc_id is scored, but neither learnt from nor
@@ -437,9 +438,10 @@ def learn(docs: DataFrame) -> tuple[Units, Network]:
     if not tokens:
         return units, network
     shards = max(1, round(tokens / SHARD_TOKENS))
-    epochs, streams = (3, 48) if shards == 1 else (1, 256)
     partitions, rows = shuffle_partitions(spark), encoded(docs, units, shards)
     for lo, hi in rounds(shards):
+        # The first shard, alone in its round, starts from random weights: it is passed more often, in fewer streams.
+        epochs, streams = (1, 256) if lo else (3, 48)
         shared = spark.sparkContext.broadcast(network)
 
         def fit(t: pa.Table) -> pa.Table:

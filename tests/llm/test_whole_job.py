@@ -23,6 +23,21 @@ def test_lm_learns_from_long_texts(spark):
     assert r["n_tokens"] == 40_001 and r["score"] > 0.5 * r["base_score"]
 
 
+def test_lm_trains_the_first_shard_alike_however_many_follow(monkeypatch, spark):
+    text = b"left right up down " * 20
+    docs = spark.createDataFrame([(i, text.decode()) for i in range(100)], "doc_id long, text string")
+    words, _, starts, ends, joined = lm.words_of([text], lower=True)
+    monkeypatch.setattr(lm, "rounds", lambda shards: [(0, 1)])
+    for shards in (1, 3):
+        monkeypatch.setattr(lm, "SHARD_TOKENS", 8100 // shards)
+        units, network = lm.learn(docs)
+        n = network.trained // 81
+        assert n == 100 if shards == 1 else 0 < n < 100
+        own = lm.Network(lm.learn_units(docs.select(docs["text"].cast("binary").alias("text")))[1])
+        own.train(np.tile(np.append(units(words, ends, starts, joined), 0), n), np.tile(np.arange(81) == 0, n), streams=48, epochs=3)
+        assert np.allclose(network.weights(), own.weights(), atol=1e-4)
+
+
 def test_packing_cuts_only_what_fits_nowhere():
     rng = np.random.default_rng(3)
     mixed = np.clip(rng.lognormal(5.3, 1.0, 3000).astype(int), 1, 1023)
