@@ -81,14 +81,6 @@ def make_models(depths: Sequence[float] | None, testvars: Sequence, adjustvars:
     return full_rank(mod, "mod"), full_rank(mod0, "mod0")
 
 
-def residual_basis(m: np.ndarray) -> np.ndarray:
-    """Orthonormal rows that span what the model leaves over: residual sums of squares are sums of squares along them."""
-    if not m.shape[1]:
-        return np.eye(len(m))
-    u, s, _ = np.linalg.svd(m, full_matrices=True)
-    return u[:, int((s > s[0] * 1e-10).sum()) :].T
-
-
 def projection(m: np.ndarray) -> np.ndarray:
-    """I - M (M'M)^-1 M'."""
+    """I - M (M'M)^-1 M': the squares along its rows sum up to what the model leaves over."""
     return np.eye(len(m)) - m @ np.linalg.pinv(m)

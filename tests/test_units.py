@@ -1,6 +1,7 @@
 """Published micro-cases and properties of the operators."""
 
 import collections
+import decimal
 import random
 
 import numpy as np
@@ -109,6 +110,31 @@ def test_models_and_f(spark):
     assert fstats.calculate_stats(segs(spark, [(1, 2, [3.0] * 6)]), mod, mod0).first()["f"] is None
 
 
+def test_close_fits_keep_their_digits(spark):
+    """F of counts that the model fits closely, against 60-digit arithmetic: each place of 6 is right, whichever way it is summed."""
+    mod, mod0 = stats.make_models(None, ["A", "B"] * 3, [[1.0, 1.0, 1.0, 0.0, 0.0, 0.0]])
+    counts = [(21, 27, 21, 17, 12, 17), (15, 23, 15, 22, 14, 22), (19, 18, 19, 19, 20, 19)]
+    logged = filters.log_transform(segs(spark, [(i + 1, i + 1, c) for i, c in enumerate(counts)]))
+    found = [[r["f"] for r in fstats.calculate_stats(logged, mod, mod0, method=m).orderBy("start").collect()] for m in ("expression", "matrix")]
+    assert found[0] == found[1] and [round(f, 6) for f in found[0]] == [933844.372361, 30347.189406, 31207.999667]
+
+
+def test_log2_is_the_nearest_double(spark):
+    numbers = [float(v) for v in range(1, 1000)] + [0.3, 0.75, 1 - 1e-10, 1e-300]
+    odd = [0.0, -1.0, None, float("inf"), 2.0**-1074, 2.0**1000]
+    got = spark.createDataFrame([(numbers, odd)], "a array<double>, b array<double>").select(filters.log2_of("a").alias("a"), filters.log2_of("b").alias("b")).first()
+    two = decimal.Decimal(2).ln()
+    assert got["a"] == [float(decimal.Decimal(v).ln() / two) for v in numbers]
+    assert got["b"] == [None, None, None, float("inf"), -1074.0, 1000.0]
+
+
+def test_depths_far_from_0_span_the_same_models():
+    depths, group = [1.0, 2.0, 1.5, 3.0, 2.5, 3.5], ["A", "B", "A", "B", "B", "A"]
+    near, far = (stats.make_models([d + shift for d in depths], group) for shift in (-2.25, 1e5))
+    y = np.random.default_rng(0).normal(5, 1, (50, 6))
+    assert np.allclose(fstats.f_values(y, *near), fstats.f_values(y, *far), rtol=1e-6)
+
+
 def test_cutoffs(spark):
     f = segs(spark, [(1, 10, [1.0]), (11, 20, [2.0])]).selectExpr("*", "y[0] AS f")
     assert fstats.fstat_cutoff(f, "empirical", 0.5) == 1.5 and fstats.fstat_cutoff(f, "manual", 1) == 1.0
